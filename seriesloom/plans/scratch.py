@@ -1,7 +1,7 @@
 """Written intermediate tables: they cut lineage and outlive any one executor.
 
 They go to the shared folder that the cluster names in ``spark.checkpoint.dir``. Only where that is
-unset, as in local tests, a folder of our own is chosen and put into the setting.
+unset, as in local tests, a folder of our own is chosen.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(app)
     if not base:
         if spark.sparkContext.master.startswith("local["):
             base = tempfile.mkdtemp(prefix="seriesloom-")
@@ -23,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
             base = f"file://{base}"
         else:  # the warehouse is shared by definition
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
+        _OWN[app] = base
     return base.rstrip("/")
 
 
