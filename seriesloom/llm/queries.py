@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import exact_dedup
+from seriesloom.llm import exact_dedup, sharding
 
 QUERIES = {
+    "op8_sharding": sharding.op8,
     "op10_exact_dedup": exact_dedup.op10,
 }
 ORACLE_SQL = {
