@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import exact_dedup, mixing, sharding
+from seriesloom.llm import exact_dedup, mixing, packing, sharding
 
 QUERIES = {
+    "op6_packing": packing.op6,
     "op2_mixing": mixing.op2,
     "op8_sharding": sharding.op8,
     "op10_exact_dedup": exact_dedup.op10,
