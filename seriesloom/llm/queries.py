@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import exact_dedup, mixing, packing, sharding
+from seriesloom.llm import exact_dedup, mixing, packing, quality, sharding
 
 QUERIES = {
+    "op9_quality": quality.op9,
     "op6_packing": packing.op6,
     "op2_mixing": mixing.op2,
     "op8_sharding": sharding.op8,
