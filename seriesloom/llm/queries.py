@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import exact_dedup, mixing, packing, quality, sharding
+from seriesloom.llm import exact_dedup, mixing, near_dedup, packing, quality, sharding
 
 QUERIES = {
+    "op4_near_dedup": near_dedup.op4,
     "op9_quality": quality.op9,
     "op6_packing": packing.op6,
     "op2_mixing": mixing.op2,
