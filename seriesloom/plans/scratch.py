@@ -7,6 +7,7 @@ unset, as in local tests, a folder of our own is chosen.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -57,3 +58,15 @@ class Scratch:
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While it lasts, Arrow batches to Python hold fewer rows: for long texts and actions inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
