@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.common import once, text_of
 from seriesloom.llm.components import components
-from seriesloom.plans.scratch import Scratch
+from seriesloom.plans.scratch import Scratch, small_batches
 
 WORDS = 5
 BANDS, ROWS = 40, 4
@@ -41,6 +41,8 @@ PARTS = [f"s{i}" for i in range(BITS // 64)]
 LENIENT = 0.61
 #: Classes that meet in one block of a large bucket.
 BLOCK = 64
+#: Classes in question (40 bytes each) up to which they are broadcast to the texts; beyond, both are shuffled.
+BROADCAST_ROWS = 250_000
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _MUL = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -143,23 +145,24 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, hashes) for the classes of ``wanted`` (cls, doc_id), rebuilt from the text of that document."""
+    """(c, hashes) for the classes of ``wanted`` (c, cls, doc_id), a written table, rebuilt from the text of that document."""
     import xxhash
 
-    schema = pa.schema([("cls", pa.binary()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("c", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
-                hit = [(c, s.view(np.int64)) for c, s in zip(part.column(0).to_pylist(), sets, strict=True) if xxhash.xxh3_128_digest(s.tobytes()) == c]
+                c, cls, texts = (part.column(i).to_pylist() for i in range(3))
+                hit = [(i, s.view(np.int64)) for i, k, s in zip(c, cls, map(shingles, texts), strict=True) if xxhash.xxh3_128_digest(s.tobytes()) == k]
                 if hit:
-                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in hit], pa.binary()), pa.array([s for _, s in hit], schema.field(1).type)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in hit], pa.int64()), pa.array([s for _, s in hit], schema.field(1).type)], schema=schema)
 
-    wanted = wanted.select("cls", F.col("doc_id").alias("__of"))
-    texts = docs.select("doc_id", text_of().alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("__of"))).select("cls", "text")
-    return texts.mapInArrow(run, "cls binary, hashes array<bigint>").groupBy("cls").agg(F.any_value("hashes").alias("hashes"))
+    small = wanted.count() <= BROADCAST_ROWS
+    wanted = wanted.select("c", "cls", F.col("doc_id").alias("__of"))
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("__of")))
+    return texts.select("c", "cls", "text").mapInArrow(run, "c bigint, hashes array<bigint>").groupBy("c").agg(F.any_value("hashes").alias("hashes"))
 
 
 class NearDuplicates:
@@ -167,60 +170,70 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, scratch: Scratch):
         self.docs, self.scratch = docs, scratch
-        signed = scratch.keep(signatures(docs))
+        with small_batches(docs.sparkSession):
+            signed = scratch.keep(signatures(docs))
+            self._solve(signed)
+
+    def _solve(self, signed: DataFrame) -> None:
+        scratch = self.scratch
         self.rows = signed.select("doc_id", "digest", "cls", "n")
         same = [F.any_value(c).alias(c) for c in ("n", "keys", *PARTS)]
-        classes = scratch.keep(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *same))
+        classes = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *same)
+        # short names, given once as the table is written; they follow the hash of cls, so their order has nothing to do with texts
+        classes = scratch.keep(classes.withColumn("c", F.monotonically_increasing_id()))
         self.classes = classes.drop("keys")
-        exploded = classes.select("cls", F.explode("keys").alias("key"))
-        shared = exploded.groupBy("key").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        exploded = classes.select("c", F.explode("keys").alias("key"))
+        shared = exploded.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
         self.members = scratch.keep(exploded.join(shared, "key"))
         self.roots = self._components()
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs of classes (a, b) whose full sets have at least 0.75 of their union in common."""
         pairs = self.scratch.keep(pairs)
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        sets = self.scratch.keep(full_sets(self.docs, self.classes.select("cls", "doc_id").join(ends, "cls", "left_semi")))
-        one = pairs.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
-        both = one.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
+        ends = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+        wanted = self.scratch.keep(self.classes.select("c", "cls", "doc_id").join(ends, "c", "left_semi"))
+        sets = self.scratch.keep(full_sets(self.docs, wanted))
+        one = pairs.join(sets.select(F.col("c").alias("b"), F.col("hashes").alias("hb")), "b")
+        both = one.join(sets.select(F.col("c").alias("a"), F.col("hashes").alias("ha")), "a")
         common = F.size(F.array_intersect("ha", "hb"))
         out = both.select("a", "b", common.alias("i"), (F.size("ha") + F.size("hb") - common).alias("u"))
-        return out.where(100 * F.col("i").cast("long") >= 75 * F.col("u").cast("long")).select("a", "b")
+        links = self.scratch.keep(out.where(100 * F.col("i").cast("long") >= 75 * F.col("u").cast("long")).select("a", "b"))
+        self.scratch.drop(pairs, wanted, sets)
+        return links
 
     def _components(self) -> DataFrame:
-        sketches = self.classes.select("cls", "n", *PARTS)
-        pairs = self.members.where("cls != hub").select("hub", "cls").distinct()
-        x = pairs.join(sketches.alias("y"), "cls").alias("y")
-        x = x.join(sketches.withColumnRenamed("cls", "hub").alias("x"), F.col("y.hub") == F.col("x.hub"))
-        links = self.scratch.keep(self._confirmed(x.where(_similar("x", "y")).select(F.col("x.hub").alias("a"), F.col("y.cls").alias("b"))))
+        sketches = self.classes.select("c", "n", *PARTS)
+        pairs = self.members.where("c != hub").select("hub", "c").distinct()
+        x = pairs.join(sketches.alias("y"), "c").alias("y")
+        x = x.join(sketches.withColumnRenamed("c", "hub").alias("x"), F.col("y.hub") == F.col("x.hub"))
+        links = self._confirmed(x.where(_similar("x", "y")).select(F.col("x.hub").alias("a"), F.col("y.c").alias("b")))
         roots = components(links, self.scratch)
-        rest = self.scratch.keep(self._confirmed(self._across(roots)))
+        rest = self._confirmed(self._across(roots))
         if rest.isEmpty():
             return roots
         return components(links.union(rest), self.scratch)
 
     def _across(self, roots: DataFrame) -> DataFrame:
         """Similar pairs of classes that share a bucket but no component."""
-        placed = self.members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        placed = self.scratch.keep(placed.select("key", "cls", "root", "size"))
+        placed = self.members.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        placed = self.scratch.keep(placed.select("key", "c", "root", "size"))
         open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
         blocks = F.ceil(F.col("size") / BLOCK)
-        rows = placed.join(open_keys, "key", "left_semi").join(self.classes.select("cls", "n", *PARTS), "cls")
-        rows = rows.withColumns({"blocks": blocks, "g": F.pmod(F.xxhash64("cls"), blocks)})
+        rows = placed.join(open_keys, "key", "left_semi").join(self.classes.select("c", "n", *PARTS), "c")
+        rows = rows.withColumns({"blocks": blocks, "g": F.pmod(F.xxhash64("c"), blocks)})
         rows = self.scratch.keep(rows.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
         rows = rows.withColumns({"p": F.least("g", "h"), "q": F.greatest("g", "h")}).drop("size", "blocks", "h")
         x, y = rows.alias("x"), rows.alias("y")
         meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-        apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.cls") < F.col("y.cls"))
+        apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.c") < F.col("y.c"))
         here = (F.col("x.p") == F.col("x.q")) | (F.col("x.g") != F.col("y.g"))
         found = x.join(y, meet & apart & here & _similar("x", "y"))
-        return found.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+        return found.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
     def of_class(self) -> DataFrame:
         """(cls, component_id) for classes that are not empty."""
-        of = self.classes.select("cls", "doc_id").join(self.roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        of = of.withColumn("root", F.coalesce("root", "cls"))
+        of = self.classes.select("c", "cls", "doc_id").join(self.roots.select(F.col("node").alias("c"), "root"), "c", "left")
+        of = of.withColumn("root", F.coalesce("root", "c"))
         least = self.scratch.keep(of.groupBy("root").agg(F.min("doc_id").alias("component_id")))
         return self.scratch.keep(of.select("cls", "root").join(least, "root"))
 
