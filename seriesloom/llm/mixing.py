@@ -56,7 +56,7 @@ def water_fill(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] =
 class Mix:
     """A schedule over ``docs``: ``lines`` places documents, ``pieces`` cuts them into blocks, ``slots`` takes blocks."""
 
-    def __init__(self, docs: DataFrame, scratch: Scratch, block: int = 256, seed: int = 0, bucket_rows: int = 50_000, chunk: int = 65_536):
+    def __init__(self, docs: DataFrame, scratch: Scratch, block: int = 256, seed: int = 0, bucket_rows: int = 1000, chunk: int = 65_536):
         self.spark, self.block = docs.sparkSession, block
         order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(str(seed))))
         rows = scratch.keep(
@@ -67,7 +67,7 @@ class Mix:
         )
         totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
         self.sources = water_fill([(r["source"], r["size"]) for r in totals])
-        bits = max(0, (sum(r["n"] for r in totals) // bucket_rows).bit_length())
+        bits = min(14, (sum(r["n"] for r in totals) // bucket_rows).bit_length())  # buckets grow beyond that many; they sort and spill
         names = {s.name: i for i, s in enumerate(self.sources)}
         known = self.spark.createDataFrame([(k, v) for k, v in names.items()], "name string, s int")
         self.lines = scratch.keep(self._lay_out(rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).drop("name"), bits))

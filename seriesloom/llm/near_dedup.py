@@ -39,8 +39,8 @@ BITS = 1024
 PARTS = [f"s{i}" for i in range(BITS // 64)]
 #: Estimated similarity from which a pair is confirmed on full sets.
 LENIENT = 0.61
-#: Classes that meet in one block of a large bucket.
-BLOCK = 64
+#: Classes in one block of a large bucket: each is copied once for every block of its bucket, and one block pair is compared within a join.
+BLOCK = 1024
 #: Classes in question (40 bytes each) up to which they are broadcast to the texts; beyond, both are shuffled.
 BROADCAST_ROWS = 250_000
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import exact_dedup, mixing, near_dedup, packing, quality, sharding
+from seriesloom.llm import exact_dedup, license_scan, mixing, near_dedup, packing, quality, sharding
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1,
     "op4_near_dedup": near_dedup.op4,
     "op9_quality": quality.op9,
     "op6_packing": packing.op6,
@@ -13,5 +14,6 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10,
 }
 ORACLE_SQL = {
+    "op1_license_scan": license_scan.OP1_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
