@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import exact_dedup, license_scan, mixing, near_dedup, packing, quality, sharding
+from seriesloom.llm import exact_dedup, license_scan, media, mixing, near_dedup, packing, quality, sharding, url_filter
 
 QUERIES = {
+    "op3_media": media.op3,
+    "op7_url_filter": url_filter.op7,
     "op1_license_scan": license_scan.op1,
     "op4_near_dedup": near_dedup.op4,
     "op9_quality": quality.op9,
@@ -14,6 +16,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10,
 }
 ORACLE_SQL = {
+    "op7_url_filter": url_filter.OP7_SQL,
     "op1_license_scan": license_scan.OP1_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
