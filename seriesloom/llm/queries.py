@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import exact_dedup, license_scan, media, mixing, near_dedup, packing, quality, sharding, url_filter
+from seriesloom.llm import chat_format, exact_dedup, license_scan, media, mixing, near_dedup, packing, quality, sharding, url_filter
 
 QUERIES = {
+    "op5_chat_format": chat_format.op5,
     "op3_media": media.op3,
     "op7_url_filter": url_filter.op7,
     "op1_license_scan": license_scan.op1,
