@@ -1 +1 @@
-"""See README.md for the layout."""
+"""Column expressions and aggregates: identity, predicates, delta coding, measurements."""

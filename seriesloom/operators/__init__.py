@@ -1 +1 @@
-"""See README.md for the layout."""
+"""Relational operators on points, chunk statistics and write logs. All are lazy DataFrame transformations."""

@@ -1 +1 @@
-"""See README.md for the layout."""
+"""Continuous ingest through Structured Streaming."""
