@@ -3,12 +3,13 @@
 1. One pass over whole texts gives each document's set of hashed 5-word shingles, its MinHash samples, their band keys and their
    odd sketch (each sample flips one bit; the population count of two sketches' XOR tells how many samples differ).
    Documents with equal sets form a class; from here on only classes take part, so copies cost nothing.
-2. In every bucket of a band the first class is the hub and all others are paired with it. Pairs that the sketches find
-   similar are confirmed on full sets, and confirmed links are joined into components. A group of thousands of near copies has thus a
-   few pairs a class, not all of them.
-3. Buckets that still hold several components are searched exhaustively: classes are dealt into blocks of bounded size, pairs of
-   blocks are compared by size and sketch within the join's condition, and only similar classes of different components come out, to be
-   confirmed like before. No bucket is capped; no link that the bands find is lost.
+2. In every bucket of a band the class that meets most others is the hub and all others are paired with it. Pairs that the sketches
+   find similar are confirmed on full sets, and confirmed links are joined into components. A group of thousands of near copies has
+   thus a few pairs a class, not all of them. A second round does the same with random hubs in buckets that hold several components still.
+3. What is left of those buckets is searched exhaustively. Small buckets list their similar pairs of different components, to be
+   confirmed like before. The classes of large ones are dealt into blocks of bounded size, and each pair of blocks is compared by size,
+   sketch and then full sets within the join's condition, so that only links between components come out. No bucket is capped, and no
+   link that the bands find is lost, but for links within a component.
 
 With 40 bands of 4 rows two sets of similarity 0.75 share no band with probability 3e-7; a sketch that says less than
 ``LENIENT`` for them is 4 standard errors off. Full sets are rebuilt from the texts for the classes in question only.
@@ -39,6 +40,8 @@ BITS = 1024
 PARTS = [f"s{i}" for i in range(BITS // 64)]
 #: Estimated similarity from which a pair is confirmed on full sets.
 LENIENT = 0.61
+#: Classes up to which a bucket's similar pairs are listed; larger ones are compared in blocks.
+SMALL = 32
 #: Classes in one block of a large bucket: each is copied once for every block of its bucket, and one block pair is compared within a join.
 BLOCK = 1024
 #: Classes in question (40 bytes each) up to which they are broadcast to the texts; beyond, both are shuffled.
@@ -183,9 +186,38 @@ class NearDuplicates:
         classes = scratch.keep(classes.withColumn("c", F.monotonically_increasing_id()))
         self.classes = classes.drop("keys")
         exploded = classes.select("c", F.explode("keys").alias("key"))
-        shared = exploded.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        self.members = scratch.keep(exploded.join(shared, "key"))
-        self.roots = self._components()
+        shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        members = scratch.keep(exploded.join(shared, "key"))
+        # the hub is the class that meets most others: near the middle of its group
+        score = members.groupBy("c").agg(F.sum("size").alias("score"))
+        hubs = members.join(score, "c").groupBy("key").agg(F.max_by("c", F.struct("score", "c")).alias("hub"))
+        links = self._confirmed(self._filtered(members.join(hubs, "key").where("c != hub").select("hub", "c")))
+        self.roots = components(links, scratch)
+        left = self._open(members.where("size > 2"), self.roots)
+        if left.isEmpty():
+            return
+        hubs = left.groupBy("key").agg(F.min_by(F.struct(F.col("c").alias("hub"), F.col("root").alias("hub_root")), F.xxhash64("c", "key")).alias("h")).select("key", "h.*")
+        more = self._confirmed(self._filtered(left.join(hubs, "key").where("root != hub_root").select("hub", "c")))
+        links = links.union(more)
+        self.roots = components(links, scratch)
+        left = self._open(left.select("key", "c", "size"), self.roots)
+        if left.isEmpty():
+            return
+        rest = self._confirmed(self._within_small(left.where(F.col("size") <= SMALL))).union(self._within_large(left.where(F.col("size") > SMALL)))
+        self.roots = components(links.union(rest), scratch)
+
+    def _open(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """(key, c, size, root) of the buckets that hold several components."""
+        placed = members.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        placed = self.scratch.keep(placed.select("key", "c", "size", "root"))
+        several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+        return self.scratch.keep(placed.join(several, "key", "left_semi"))
+
+    def _filtered(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (hub, c) as (a, b), where sizes and sketches allow for a link."""
+        sketches = self.classes.select("c", "n", *PARTS)
+        x = pairs.distinct().join(sketches, "c").alias("y").join(sketches.withColumnRenamed("c", "hub").alias("x"), F.col("y.hub") == F.col("x.hub"))
+        return x.where(_similar("x", "y")).select(F.col("x.hub").alias("a"), F.col("y.c").alias("b"))
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs of classes (a, b) whose full sets have at least 0.75 of their union in common."""
@@ -201,34 +233,32 @@ class NearDuplicates:
         self.scratch.drop(pairs, wanted, sets)
         return links
 
-    def _components(self) -> DataFrame:
-        sketches = self.classes.select("c", "n", *PARTS)
-        pairs = self.members.where("c != hub").select("hub", "c").distinct()
-        x = pairs.join(sketches.alias("y"), "c").alias("y")
-        x = x.join(sketches.withColumnRenamed("c", "hub").alias("x"), F.col("y.hub") == F.col("x.hub"))
-        links = self._confirmed(x.where(_similar("x", "y")).select(F.col("x.hub").alias("a"), F.col("y.c").alias("b")))
-        roots = components(links, self.scratch)
-        rest = self._confirmed(self._across(roots))
-        if rest.isEmpty():
-            return roots
-        return components(links.union(rest), self.scratch)
-
-    def _across(self, roots: DataFrame) -> DataFrame:
-        """Similar pairs of classes that share a bucket but no component."""
-        placed = self.members.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        placed = self.scratch.keep(placed.select("key", "c", "root", "size"))
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    def _within_small(self, left: DataFrame) -> DataFrame:
+        """Similar pairs of different components within buckets of at most ``SMALL`` classes."""
+        rows = self.scratch.keep(left.select("key", "c", "root").join(self.classes.select("c", "n", *PARTS), "c"))
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.c") < F.col("y.c"))
+        return rows.alias("x").join(rows.alias("y"), apart & _similar("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+
+    def _within_large(self, left: DataFrame) -> DataFrame:
+        """Links between components within larger buckets. Full sets are compared in the join itself, so only links come out of it."""
+        names = self.scratch.keep(left.select("c").distinct())
+        if names.isEmpty():
+            return self.docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+        sets = self.scratch.keep(full_sets(self.docs, self.scratch.keep(self.classes.select("c", "cls", "doc_id").join(names, "c", "left_semi"))))
         blocks = F.ceil(F.col("size") / BLOCK)
-        rows = placed.join(open_keys, "key", "left_semi").join(self.classes.select("c", "n", *PARTS), "c")
-        rows = rows.withColumns({"blocks": blocks, "g": F.pmod(F.xxhash64("c"), blocks)})
-        rows = self.scratch.keep(rows.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-        rows = rows.withColumns({"p": F.least("g", "h"), "q": F.greatest("g", "h")}).drop("size", "blocks", "h")
-        x, y = rows.alias("x"), rows.alias("y")
+        rows = left.withColumns({"blocks": blocks, "g": F.pmod(F.xxhash64("c"), blocks)})
+        rows = rows.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.select("key", "c", "root", "g", F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"))
+        rows = self.scratch.keep(rows.join(self.classes.select("c", "n", *PARTS), "c").join(sets, "c"))
         meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
         apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.c") < F.col("y.c"))
         here = (F.col("x.p") == F.col("x.q")) | (F.col("x.g") != F.col("y.g"))
-        found = x.join(y, meet & apart & here & _similar("x", "y"))
-        return found.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+        common = F.size(F.array_intersect("x.hashes", "y.hashes")).cast("long")
+        linked = F.when(_similar("x", "y"), 100 * common >= 75 * (F.col("x.n") + F.col("y.n") - common)).otherwise(False)
+        found = rows.alias("x").join(rows.alias("y"), meet & apart & here & linked)
+        links = self.scratch.keep(found.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
+        self.scratch.drop(sets, rows)
+        return links
 
     def of_class(self) -> DataFrame:
         """(cls, component_id) for classes that are not empty."""

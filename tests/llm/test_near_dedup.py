@@ -79,7 +79,10 @@ def test_odd_sketches_estimate_high_similarities():
 
 
 @pytest.mark.parametrize("seed", [0, 1])
-def test_same_as_brute_force(spark, seed):
+def test_same_as_brute_force(spark, seed, monkeypatch):
+    if seed:  # many blocks, as in buckets of thousands
+        monkeypatch.setattr(nd, "SMALL", 3)
+        monkeypatch.setattr(nd, "BLOCK", 8)
     rng = random.Random(seed)
     rows = []
     for g in range(12):
@@ -89,6 +92,9 @@ def test_same_as_brute_force(spark, seed):
     star = [f"s{i}" for i in range(200)]
     for i in range(60):  # each is near the middle one only
         rows.append((len(rows), noisy(star, rng, 6 if i != 30 else 0)))
+    cloud = [f"c{i}" for i in range(150)]
+    for i in range(80):  # from near the middle to out of reach, with every similarity between them
+        rows.append((len(rows), noisy(cloud, rng, i // 8)))
     passage = [f"p{i}" for i in range(60)]
     for i in range(90):  # a common passage alone makes no link
         rows.append((len(rows), " ".join(passage + [f"o{i}_{k}" for k in range(25)])))
