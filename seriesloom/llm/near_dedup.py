@@ -6,10 +6,9 @@
 2. In every bucket of a band the class that meets most others is the hub and all others are paired with it. Pairs that the sketches
    find similar are confirmed on full sets, and confirmed links are joined into components. A group of thousands of near copies has
    thus a few pairs a class, not all of them. A second round does the same with random hubs in buckets that hold several components still.
-3. What is left of those buckets is searched exhaustively. Small buckets list their similar pairs of different components, to be
-   confirmed like before. The classes of large ones are dealt into blocks of bounded size, and each pair of blocks is compared by size,
-   sketch and then full sets within the join's condition, so that only links between components come out. No bucket is capped, and no
-   link that the bands find is lost, but for links within a component.
+3. What is left of those buckets is searched exhaustively for links between components. Small buckets compare their pairs by size and
+   sketch. For classes of large buckets, which a common passage fills with dissimilar documents, a prefix filter over their full sets finds
+   every pair that can be similar. Both are confirmed like before. No bucket is capped, and no link between components is lost.
 
 With 40 bands of 4 rows two sets of similarity 0.75 share no band with probability 3e-7; a sketch that says less than
 ``LENIENT`` for them is 4 standard errors off. Full sets are rebuilt from the texts for the classes in question only.
@@ -40,10 +39,10 @@ BITS = 1024
 PARTS = [f"s{i}" for i in range(BITS // 64)]
 #: Estimated similarity from which a pair is confirmed on full sets.
 LENIENT = 0.61
-#: Classes up to which a bucket's similar pairs are listed; larger ones are compared in blocks.
+#: Classes up to which a bucket's pairs are compared one by one; classes of larger ones are joined by prefixes.
 SMALL = 32
-#: Classes in one block of a large bucket: each is copied once for every block of its bucket, and one block pair is compared within a join.
-BLOCK = 1024
+#: Shingles up to which a set goes along into the join by prefixes, to be compared there; pairs of longer ones are listed and confirmed later.
+CARRIED = 1024
 #: Classes in question (40 bytes each) up to which they are broadcast to the texts; beyond, both are shuffled.
 BROADCAST_ROWS = 250_000
 
@@ -203,8 +202,8 @@ class NearDuplicates:
         left = self._open(left.select("key", "c", "size"), self.roots)
         if left.isEmpty():
             return
-        rest = self._confirmed(self._within_small(left.where(F.col("size") <= SMALL))).union(self._within_large(left.where(F.col("size") > SMALL)))
-        self.roots = components(links.union(rest), scratch)
+        small, large = self._within_small(left.where(F.col("size") <= SMALL)), self._within_large(left.where(F.col("size") > SMALL))
+        self.roots = components(links.union(self._confirmed(small.union(large).distinct())), scratch)
 
     def _open(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """(key, c, size, root) of the buckets that hold several components."""
@@ -240,25 +239,34 @@ class NearDuplicates:
         return rows.alias("x").join(rows.alias("y"), apart & _similar("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
     def _within_large(self, left: DataFrame) -> DataFrame:
-        """Links between components within larger buckets. Full sets are compared in the join itself, so only links come out of it."""
-        names = self.scratch.keep(left.select("c").distinct())
+        """Similar pairs of different components among the classes of larger buckets, by prefixes of their full sets.
+
+        With shingles ordered from rare to frequent, sets of similarity 0.75 have one in common among the first n - ceil(0.75 n) + 1 of
+        each. What made the bucket large, a passage that many share, is frequent and so stands outside of the prefixes.
+        """
+        keep, drop = self.scratch.keep, self.scratch.drop
+        names = keep(left.select("c", "root").distinct())
         if names.isEmpty():
             return self.docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-        sets = self.scratch.keep(full_sets(self.docs, self.scratch.keep(self.classes.select("c", "cls", "doc_id").join(names, "c", "left_semi"))))
-        blocks = F.ceil(F.col("size") / BLOCK)
-        rows = left.withColumns({"blocks": blocks, "g": F.pmod(F.xxhash64("c"), blocks)})
-        rows = rows.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.select("key", "c", "root", "g", F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"))
-        rows = self.scratch.keep(rows.join(self.classes.select("c", "n", *PARTS), "c").join(sets, "c"))
-        meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-        apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.c") < F.col("y.c"))
-        here = (F.col("x.p") == F.col("x.q")) | (F.col("x.g") != F.col("y.g"))
+        sets = keep(full_sets(self.docs, keep(self.classes.select("c", "cls", "doc_id").join(names, "c", "left_semi"))))
+        tokens = sets.select("c", F.explode("hashes").alias("h"))
+        often = keep(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+        # shingles of one class alone come first in its order and match nothing: only their number counts
+        shared = tokens.join(often, "h").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
+        n = F.col("n")
+        first = F.greatest(F.lit(0), F.size("order") - F.ceil(n * 3 / 4) + 1).cast("int")  # the first n - ceil(0.75 n) + 1, less what is not shared
+        rows = shared.join(self.classes.select("c", "n", *PARTS), "c").withColumn("first", first).where("first > 0")
+        prefix = rows.withColumn("px", F.slice("order", F.lit(1), F.col("first"))["h"]).withColumn("h", F.explode("px")).drop("order", "first")
+        light = sets.where(F.size("hashes") <= CARRIED)
+        prefix = keep(prefix.join(names, "c").join(light, "c", "left"))
         common = F.size(F.array_intersect("x.hashes", "y.hashes")).cast("long")
-        linked = F.when(_similar("x", "y"), 100 * common >= 75 * (F.col("x.n") + F.col("y.n") - common)).otherwise(False)
-        found = rows.alias("x").join(rows.alias("y"), meet & apart & here & linked)
-        links = self.scratch.keep(found.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
-        self.scratch.drop(sets, rows)
-        return links
+        linked = F.coalesce(100 * common >= 75 * (F.col("x.n") + F.col("y.n") - common), F.lit(True))  # unknown for longer sets: confirmed later
+        once_a_pair = F.get(F.array_intersect("x.px", "y.px"), 0) == F.col("x.h")  # at the rarest shingle in common
+        hit = F.when(~_similar("x", "y"), False).when(once_a_pair, linked).otherwise(False)
+        apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.c") < F.col("y.c"))
+        found = keep(prefix.alias("x").join(prefix.alias("y"), apart & hit).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
+        drop(sets, often, prefix)
+        return found
 
     def of_class(self) -> DataFrame:
         """(cls, component_id) for classes that are not empty."""

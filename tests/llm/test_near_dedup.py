@@ -80,9 +80,8 @@ def test_odd_sketches_estimate_high_similarities():
 
 @pytest.mark.parametrize("seed", [0, 1])
 def test_same_as_brute_force(spark, seed, monkeypatch):
-    if seed:  # many blocks, as in buckets of thousands
+    if seed:  # nearly all buckets count as large
         monkeypatch.setattr(nd, "SMALL", 3)
-        monkeypatch.setattr(nd, "BLOCK", 8)
     rng = random.Random(seed)
     rows = []
     for g in range(12):
