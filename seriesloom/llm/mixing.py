@@ -161,3 +161,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken().select(
         "doc_id", "size", mix.of_source("size", "bigint").alias("source_size"), mix.of_source("target", "double").alias("target"), "taken"
     )
+
+
+#: The schedule takes blocks 0, 1, 2, ... of a source in turn, so what it takes of a document follows from its place and the quota.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(text, '')) AS digest,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':0'), 1, 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+l AS (
+  SELECT *, (sum(source_size) OVER () - (sum(3 * source_size) OVER w - 3 * source_size))::DOUBLE / (sum(weight) OVER () - (sum(weight) OVER w - weight))::DOUBLE AS share
+  FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * (SELECT max(share) FROM l)) AS target FROM l),
+q AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS quota FROM t),
+p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE CAST(quota // source_size * size + greatest(0, least(before + size, quota % source_size) - before) AS BIGINT) END AS taken
+FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source
+"""

@@ -78,3 +78,7 @@ def test_sizes_of_the_whole_table(spark):
     _, rows = oracle.duck("SELECT doc_id, text FROM documents")
     assert len(got) == len(rows)
     assert all(got[i]["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows)
+
+
+def test_same_as_sql(spark):
+    oracle.assert_same(spark, mixing.op2, mixing.OP2_SQL)

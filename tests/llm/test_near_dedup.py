@@ -121,3 +121,7 @@ def test_whole_table_against_brute_force(spark):
     want = sorted((d, n, c if n else d) for (d, _), (n, c) in zip(rows, brute(rows), strict=True))
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nd.op4(spark, oracle.SF).collect())
     assert got == want
+
+
+def test_same_as_sql(spark):
+    oracle.assert_same(spark, nd.op4, nd.OP4_SQL)
