@@ -15,6 +15,8 @@ records that agree in key, tie and size are interchangeable; an empty table give
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,11 @@ def _array(values: list[int]) -> Column:
     return F.lit(values) if values else F.array().cast("array<bigint>")
 
 
+def _table(spark: SparkSession, rows: list[dict], row: str) -> DataFrame:
+    """A bounded table of literals."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{row}>>")))
+
+
 def _range_of(key: Column, cuts: list[int]) -> Column:
     """The number of boundaries up to ``key``, found through a two-level table of them."""
     if not cuts:
@@ -81,8 +88,8 @@ def assign(records: DataFrame, shards: int, scratch: Scratch, ranges: int = 1024
         points: dict[int, list] = {r: [] for r in want}
         for r in drawn.collect():
             points[r["__range"]] += [(r["key"], r["tie"])] * r["n"]
-        cuts = [(r, _quantiles(sorted(p), want[r])) for r, p in points.items()]
-        table = spark.createDataFrame(cuts, "__range int, cuts array<struct<key: bigint, tie: bigint>>")
+        cuts = [{"__range": r, "cuts": [{"key": k, "tie": t} for k, t in _quantiles(sorted(p), want[r])]} for r, p in points.items()]
+        table = _table(spark, cuts, "__range: int, cuts: array<struct<key: bigint, tie: bigint>>")
         here = F.struct(F.col("key"), F.coalesce("tie", F.lit(-(1 << 63))).alias("tie"))
         ranged = ranged.join(F.broadcast(table), "__range", "left").withColumn(
             "__part", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= here)))
@@ -100,9 +107,9 @@ def _deal(pieces: DataFrame, total: int, shards: int, scratch: Scratch) -> DataF
     before = rank = 0
     offsets = []
     for r in sorted(pieces.groupBy(*piece).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()):
-        offsets.append((r["__range"], r["__part"], before, rank))
+        offsets.append({"__range": r["__range"], "__part": r["__part"], "before": before, "rank": rank})
         before, rank = before + r["bytes"], rank + r["rows"]
-    offsets = pieces.sparkSession.createDataFrame(offsets, "__range int, __part int, before bigint, rank bigint")
+    offsets = _table(pieces.sparkSession, offsets, "__range: int, __part: int, before: bigint, rank: bigint")
     w = Window.partitionBy(*piece).orderBy("key", "tie", "size")
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
     dealt = (
