@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +28,12 @@ def once(df: DataFrame, copies: str, keys: list[str]) -> DataFrame:
     Rows with one copy pass without a shuffle; only repeated rows are grouped.
     """
     return df.where(F.col(copies) == 1).unionByName(df.where(F.col(copies) > 1).dropDuplicates(keys))
+
+
+def trim() -> None:
+    """Gives a Python worker's free memory back to the system: workers stay alive between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import once, text_of
+from seriesloom.llm.common import once, text_of, trim
 from seriesloom.llm.components import components
 from seriesloom.plans.scratch import Scratch, small_batches
 
@@ -141,6 +141,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 parts = [pa.array(c) for c in np.stack(sketch).T.copy()]
                 columns = [part.column(0), part.column(1), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, kinds[4]), *parts]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        trim()
 
     rows = docs.select("doc_id", F.unhex(F.md5(text_of())).alias("digest"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, digest binary, cls binary, n bigint, keys array<bigint>, " + ", ".join(f"{p} bigint" for p in PARTS))
@@ -160,6 +161,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 hit = [(i, s.view(np.int64)) for i, k, s in zip(c, cls, map(shingles, texts), strict=True) if xxhash.xxh3_128_digest(s.tobytes()) == k]
                 if hit:
                     yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in hit], pa.int64()), pa.array([s for _, s in hit], schema.field(1).type)], schema=schema)
+        trim()
 
     small = wanted.count() <= BROADCAST_ROWS
     wanted = wanted.select("c", "cls", F.col("doc_id").alias("__of"))

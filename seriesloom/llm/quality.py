@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import text_of
+from seriesloom.llm.common import text_of, trim
 
 #: Byte classes: space, lower, upper, digit, sentence marks, other ASCII marks, other.
 CLASSES = 7
@@ -224,6 +224,7 @@ def scored(docs: DataFrame, crf: Crf, column: str = "__score") -> DataFrame:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(crf.score(batch.tolist()))
+        trim()
 
     return docs.withColumn(column, score(text_of()))
 
