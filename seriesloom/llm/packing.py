@@ -5,8 +5,8 @@ From the longest tier down, every tail opens a window of its tier, and the gap b
 longest tail that fits first, and then with a cut of one that does not, so windows are full to the last token.
 The shortest tier's tails are laid end to end. Windows are dealt into step groups of equal token counts.
 
-Documents are packed in groups of at most ``group_tokens`` tokens, in the order of their scan; a group is bounded memory for
-one task, and packing needs no shuffle. Only the last window of a group can be short. A retried task reads the same rows and
+Documents are packed in groups of at most ``group_tokens`` tokens and ``group_docs`` documents (which matters for empty and very
+short ones), in the order of their scan; a group is bounded memory for one task, and packing needs no shuffle. Only the last window of a group can be short. A retried task reads the same rows and
 makes the same windows. (A document of more tokens than that is a group of its own.)
 
 Defined results: null text is empty; an empty document is its end token alone; repeated rows, null doc_ids and ties are
@@ -124,7 +124,9 @@ def _last_at_most(rows: list[tuple[int, int, int]], n: int) -> int:
     return lo - 1
 
 
-def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, group_tokens: int = 1 << 21, step_tokens: int = 1 << 14) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, group_tokens: int = 1 << 21, group_docs: int = 1 << 17, step_tokens: int = 1 << 14
+) -> DataFrame:
     """Pieces with their ids (little-endian unsigned 32-bit), their place in a sequence, its tier and step group.
 
     Sequences shorter than their tier are to be padded up to it.
@@ -156,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, group_
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(ids_of), 64):
                 for doc, ids in zip(ids_of[lo : lo + 64], encode(texts[lo : lo + 64].to_pylist()), strict=True):
-                    if group and held + len(ids) + 1 > group_tokens:
+                    if group and (held + len(ids) + 1 > group_tokens or len(group) == group_docs):
                         out, base = emit(group, base)
                         yield out
                         group, held = [], 0

@@ -84,3 +84,15 @@ def test_whole_table_against_brute_force(spark):
     assert total == sum(map(len, want.values()))
     padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in used.values())
     assert padding < 0.01 * total
+
+
+def test_groups_of_empty_documents_are_bounded(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'' AS text").coalesce(1)
+    rows = packing.pack(docs, path("byte_bpe_50k.json"), group_docs=1000).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(5000))
+    places = {(r["sequence_id"], r["offset"]) for r in rows}
+    assert len(places) == 5000
+    by_sequence = defaultdict(set)
+    for r in rows:
+        by_sequence[r["sequence_id"]].add(r["doc_id"] // 1000)
+    assert all(len(groups) == 1 for groups in by_sequence.values())
