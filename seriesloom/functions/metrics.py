@@ -10,20 +10,29 @@ APPEND_BUCKETS = [0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1]
 FLUSH_BUCKETS = [0.01, 0.05, 0.1, 0.5, 1.0, 5.0]
 QUERY_BUCKETS = [0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0]
 CHUNK_BUCKETS = [0.0, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0]
-#: Ranks by which the sketch may be off, as a share of the rows, and the margin left on either side.
-ACCURACY, MARGIN = 10_000, 0.0005
+#: Ranks by which the sketch may be off, as a share of the rows, the margins left on either side, and the ranks that a margin must span besides.
+ACCURACY, MARGINS, RANKS = 10_000, (0.0005, 0.005, 0.05), 3
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, percentiles: list[float]) -> DataFrame:
     """(group, p, result): the value at index floor((n - 1) * p) of the sorted values, exactly.
 
     A quantile sketch brackets each result first, so that only the distinct values between the brackets are sorted, whatever the
-    size of the group.
+    size of the group. Its ranks count from p * n, so a bracket takes the least margin that spans some ranks besides the
+    sketch's error; groups too small for any are sorted whole.
     """
-    probes = [x for p in percentiles for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    probes = [x for p in percentiles for m in MARGINS for x in (max(0.0, p - m), min(1.0, p + m))]
     frame = df.select(F.col(group).alias("g"), F.col(value).alias("v")).where("v is not null")
-    ends = frame.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", probes, ACCURACY).alias("at"))
-    pairs = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.get("at", F.lit(2 * i)).alias("lo"), F.get("at", F.lit(2 * i + 1)).alias("hi")) for i, p in enumerate(percentiles)])
+    ends = frame.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", probes, ACCURACY).alias("at"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+    def end(whole: str, first: int) -> Column:
+        at = F.col(whole)
+        for k, m in reversed(list(enumerate(MARGINS))):
+            at = F.when(F.col("n") * (m - 1 / ACCURACY) >= RANKS, F.get("at", F.lit(first + 2 * k))).otherwise(at)
+        return at
+
+    step = 2 * len(MARGINS)
+    pairs = F.array(*[F.struct(F.lit(float(p)).alias("p"), end("least", step * i).alias("lo"), end("most", step * i + 1).alias("hi")) for i, p in enumerate(percentiles)])
     brackets = ends.select("g", "n", F.inline(pairs))
     counts = frame.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
     hit = counts.join(brackets, "g")

@@ -168,6 +168,14 @@ def test_nearest_rank(spark):
         assert r["result"] == own[int((len(own) - 1) * r["p"])]
 
 
+def test_nearest_rank_of_groups_of_any_size(spark):
+    sizes = spark.createDataFrame([(n,) for n in [*range(1, 801), *range(801, 3001, 20), *range(7000, 9000, 250)]], "g bigint").repartition(8)
+    df = sizes.select("g", F.explode(F.sequence(F.lit(1).cast("bigint"), "g")).alias("v")).select("g", F.col("v").cast("double"))
+    percentiles = [0.0, 0.5, 0.9, 0.95, 0.99, 1.0]
+    got = {(r["g"], r["p"]): r["result"] for r in metrics.nearest_rank(df, "g", "v", percentiles).collect()}
+    assert got == {(r["g"], p): int((r["g"] - 1) * p) + 1 for r in sizes.collect() for p in percentiles}
+
+
 def test_config(monkeypatch):
     monkeypatch.setenv("SERIESLOOM_NUM_SHARDS", "8")
     monkeypatch.setenv("SERIESLOOM_COMPACTION_RATIO", "odd")
