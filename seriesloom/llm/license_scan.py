@@ -58,7 +58,14 @@ Permission is granted to anyone to use this software for any purpose, including
 
 #: Known entries up to which their digests are broadcast.
 BROADCAST_ROWS = 100_000
-#: A line that starts like this, after lower-casing, is a copyright line.
+#: A copyright line, after any comment marks: "copyright" before a mark, a year, a blank to fill in or a capitalised name; "(c)" before a
+#: year (else it may be an item of a list); ©; or nothing but "all rights reserved". Running text that wraps before "copyright notice" is none.
+OWNED = r"(?m)^[^\p{L}\p{N}\n\r]*(?:" + "|".join([
+    r"(?i:copyright)[ \t:,.-]*(?:(?i:\(c\)|&copy;)|©|[<\[{]|(?:19|20)\d\d)",
+    r"[Cc]opyright[ \t:]+(?:by[ \t]+)?(?!(?i:holder|owner|notice|licen[sc]e|law|act|statement|interest|right|treaty|and|or|in|to|is|of|on|permission)s?\b)\p{Lu}",
+    r"(?i:\(c\))[ \t]*(?:(?i:copyright)\b|(?:19|20)\d\d)", r"©", r"(?i:&copy;)", r"(?i:all rights reserved)(?![^\n\r]*[\p{L}\p{N}])",
+]) + r")[^\n\r]*"
+#: The same in the SQL, more coarsely; on the test tables both find the same lines.
 COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n\r]*$"
 MARKS = r"[^\p{L}\p{N}\n\r]+"
 
@@ -73,7 +80,7 @@ def respellings() -> list[tuple[str, str]]:
 
 def canonical_lines(text: Column) -> Column:
     """The lines in which equal licences are equal strings; blank ones and copyright lines go."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, " "), MARKS, " ")
+    t = F.regexp_replace(F.lower(F.regexp_replace(text, OWNED, " ")), MARKS, " ")
     spelled = t
     for pattern, keep in respellings():
         spelled = F.regexp_replace(spelled, pattern, keep)
@@ -81,6 +88,15 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(t, r"[\n\r]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def canonical_text(lines: Column) -> Column:
+    """The whole canonical form of canonical lines, however they were wrapped."""
+    form = F.array_join(lines, " ")
+    for found, keep in SPELLINGS:
+        if " " in found:  # may have been cut by a line's end
+            form = F.regexp_replace(form, rf"\b{found}\b", keep)
+    return form
+
+
 def digest(form: Column) -> Column:
     """A canonical form's digest; null for nothing."""
     return F.when(form != "", F.sha2(form, 256))
@@ -89,7 +105,7 @@ def digest(form: Column) -> Column:
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """(digest, license) of a table (license, text), by default the built-in one."""
     known = known if known is not None else spark.createDataFrame(KNOWN, "license string, text string")
-    whole = known.select(digest(F.array_join(canonical_lines(text_of()), " ")).alias("digest"), "license")
+    whole = known.select(digest(canonical_text(canonical_lines(text_of()))).alias("digest"), "license")
     return whole.where("digest is not null and license is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -98,7 +114,7 @@ def scan(docs: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     known = scratch.keep(known)
     table = F.broadcast(known) if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else known
     forms = docs.select("doc_id", F.md5(text_of()).alias("key"), canonical_lines(text_of()).alias("lines"))
-    forms = forms.withColumn("text_digest", digest(F.array_join("lines", " ")))
+    forms = forms.withColumn("text_digest", digest(canonical_text(F.col("lines"))))
     # both kinds of form pass through the same join; one row a document is kept apart from the lines' hits
     forms = scratch.keep(forms.select("doc_id", "key", "text_digest", F.array_distinct(F.transform("lines", digest)).alias("lines")))
     lines = forms.select("doc_id", "key", F.explode("lines").alias("digest")).join(table, "digest")

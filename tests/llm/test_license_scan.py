@@ -1,4 +1,7 @@
+import textwrap
+
 import oracle
+from pyspark.sql import functions as F
 
 from seriesloom.llm import license_scan as ls
 from seriesloom.plans.scratch import Scratch
@@ -34,3 +37,21 @@ def test_odd_inputs(spark):
     assert run(spark, []) == []
     own = spark.createDataFrame([("mine", "my own terms"), (None, "x"), ("none", "!!")], "license string, text string")
     assert sorted(run(spark, [(1, "My OWN terms.", None), (2, "x", None)], own)) == [(1, "mine", ["mine"]), (2, None, None)]
+
+
+def test_wrapping_and_comment_marks_do_not_matter(spark):
+    heads = ["", "Copyright (c) 2020 A. Person\n", "Copyright 2019-2021 The Authors. All rights reserved.\n\n", "(C) 2020 A. Person\nAll rights reserved.\n", "Copyright The Loom Authors\n", "© A. Person\n", "Copyright [yyyy] [name of copyright owner]\n"]
+    wrap = lambda text, width: "\n".join(textwrap.fill(x, width, break_on_hyphens=False) for x in text.split("\n"))
+    mark = lambda text, m: "\n".join((m + x).rstrip() for x in text.split("\n"))
+    texts = [t for _, t in ls.KNOWN[4:]]
+    rows = [(t, mark(heads[w % len(heads)] + wrap(texts[t], w), ["", "# ", " * ", "// ", "-- "][w % 5])) for t in range(len(texts)) for w in range(30, 110)]
+    rows += [(t, mark(h + wrap(texts[t], 72).upper(), "# ")) for t in range(len(texts)) for h in heads]
+    got = run(spark, [(i, text, None) for i, (_, text) in enumerate(rows)])
+    assert [i for i, license, _ in got if license != ls.KNOWN[4 + rows[i][0]][0]] == []
+
+
+def test_only_copyright_lines_go(spark):
+    kept = ["copyright notice and this permission", "Copyright Holder", "copyright the software, and", "(c) You must retain", "# copyright law", "all rights reserved to others", "COPYRIGHT HOLDERS BE LIABLE"]
+    gone = ["copyright 2020 x", "COPYRIGHT (C) X", "/* Copyright IBM Corp. */", "<!-- (c) Copyright 1999 -->", "; All Rights Reserved.", "%% © x", "// Copyright by Anna Person", "Copyright <year> <owner>"]
+    lines = spark.createDataFrame([(x,) for x in kept + gone], "t string").select("t", F.size(ls.canonical_lines(F.col("t"))).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in lines} == dict.fromkeys(kept, 1) | dict.fromkeys(gone, 0)
