@@ -9,7 +9,8 @@ Nodes are named by MD5, so components see hashed names. Repeated URLs are one no
 share costs one row after partial aggregation; the joins back to pages can be split by AQE.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed; null html has no links;
-repeated rows get equal verdicts; relative links other than from the root or without a scheme are no edges; an empty table gives no rows.
+repeated rows get equal verdicts; every canonical link and refresh of a page counts; relative links are resolved against the page's URL (a
+``<base>`` is not read); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 TARGET = r"(?is)\burl\s*=\s*['\"]?([^\"'\s>;]+)"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 #: Query parameters that never change the page.
 TRACKING = r"(?i)(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
@@ -57,21 +59,43 @@ def spelling(url: Column) -> Column:
     return F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def undotted(path: Column) -> Column:
+    """A path from the root without its segments "." and ".."."""
+    parts = F.split(path, "/")
+    back = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    add = lambda kept, x: F.when(x == "..", back(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    # a last segment that goes leaves the slash before it
+    parts = F.concat(F.slice(parts, F.lit(2), F.size(parts)), F.when(path.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    joined = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), add), "/"))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), joined).otherwise(path)
+
+
 def resolved(link: Column, url: Column) -> Column:
-    """A link's absolute URL; null for none and for relative ones that do not start at the root."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    """A link's absolute URL by RFC 3986; null for none and for schemes without ``//``, as mailto."""
+    scheme, base = F.regexp_extract(url, r"(?s)^(.*?)://", 1), path_of(url)
+    root = F.concat(scheme, F.lit("://"), host_of(url))
+    own, rest = F.regexp_extract(link, r"(?s)^[^?#]*", 0), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(base.startswith("/"), F.regexp_extract(base, r"(?s)^.*/", 0)).otherwise("/")
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(f"{SCHEME}//"), link)
+        .when(link.rlike(SCHEME), None)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link))
+        .when(link.startswith("/"), F.concat(root, undotted(own), rest))
+        .when(link.startswith("?"), F.concat(root, base, link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^[^#]*", 0), link))
+        .otherwise(F.concat(root, undotted(F.concat(folder, own)), rest))
     )
 
 
 def links(pages: DataFrame) -> DataFrame:
     """(a, b): URLs that a page says are one."""
     url, html = F.col("url"), F.coalesce(F.col("html"), F.lit(""))
-    inner = lambda tag, attribute: F.nullif(F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1), F.lit(""))
-    ends = F.array(spelling(url), resolved(inner(CANONICAL, HREF), url), resolved(inner(REFRESH, TARGET), url))
+
+    def targets(tag: str, attribute: str) -> Column:
+        found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, attribute, 1))
+        return F.transform(F.filter(found, lambda x: x != ""), lambda x: resolved(x, url))
+
+    ends = F.concat(F.array(spelling(url)), targets(CANONICAL, HREF), targets(REFRESH, TARGET))
     return pages.where(url.contains("://")).select(url.alias("a"), F.explode(ends).alias("b")).where("b is not null")
 
 

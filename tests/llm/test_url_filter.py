@@ -1,4 +1,7 @@
+from urllib.parse import urljoin
+
 import oracle
+from pyspark.sql import functions as F
 
 from seriesloom.llm import url_filter as uf
 from seriesloom.plans.scratch import Scratch
@@ -46,3 +49,26 @@ def test_blocks_reach_aliases_but_not_explicit_allows(spark):
 
 def test_empty_table(spark):
     assert judge(spark, []) == {}
+
+
+def test_relative_links_are_resolved(spark):
+    bases = ["http://x.net/fr/a/b.html?q#f", "http://x.net/fr/", "http://x.net/one", "http://x.net", "https://x.net/a/b/?u=http://y.org/z/"]
+    refs = ["page2.html", "?p=2", "../a", "../../../a", ".", "..", "./", "a/./b/../c?x=/../y#z", "/", "/r/../s", "//y.org/k", "http://z.org/", "HTTPS://Z.org/q", "go?to=http://z.org/", "/go?to=http://z.org/", "#top", "a/..", "..."]
+    rows = spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string")
+    got = {(x["b"], x["r"]): x["u"] for x in rows.select("b", "r", uf.resolved(F.col("r"), F.col("b")).alias("u")).collect()}
+    assert got == {(b, r): r if r.startswith("HTTPS") else urljoin(b, r) for b in bases for r in refs}
+    assert spark.createDataFrame([("mailto:a@b.org",)], "r string").select(uf.resolved(F.col("r"), F.lit("http://x.net/")).alias("u")).first()["u"] is None
+
+
+def test_every_link_counts_and_relative_ones_block(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "http://a.org/1", link.format("http://b.org/") + link.format("http://spam.net/fr/x"), None),
+        (2, "http://c.org/2", refresh.format("http://b2.org/") + refresh.format("http://spam.net/fr/y"), None),
+        (3, "http://spam.net/es/3", "", None),
+        (4, "http://spam.net/5/4", refresh.format("../es/4"), None),
+        (5, "http://spam.net/pages", link.format("es/3?p=2"), None),
+        (6, "http://d.org/6", link.format("fr/7"), None),
+    ]
+    got = judge(spark, rows)
+    assert [got[i]["verdict"] for i in range(1, 7)] == ["block"] * 5 + ["allow"]
