@@ -11,9 +11,9 @@ range-partitioned by (conversation, turn), and a run that may go on in a neighbo
 steps for every pair of entry and exit states. Only those matrices, at most two a partition, meet on the driver to choose the states
 at the cuts. So a conversation that holds a third of all rows is worked on by many tasks.
 
-Defined results: turns go by (turn, role, text), nulls first; a null conv_id is a conversation of its own; a role other than system, user
-and assistant (any case; null too) is unknown, and cheaper to relabel; null text is empty; repeated rows are separate turns; an empty
-table gives no rows; other columns are not carried.
+Defined results: turns go by (turn, role, hash of the text, text), nulls first but for the hash, wherever partitions are cut; a null conv_id
+is a conversation of its own; a role other than system, user and assistant (any case; null too) is unknown, and cheaper to relabel; null
+text is empty; repeated rows are separate turns; an empty table gives no rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -195,8 +195,8 @@ def formatted(turns: DataFrame, scratch: Scratch, partitions: int | None = None)
     spark = turns.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", _code(F.col("role")).alias("code"))
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = rows.repartitionByRange(n, *order[:3], F.xxhash64("text")).sortWithinPartitions(*order)
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     runs = scratch.keep(ranged.mapInArrow(_runs, RUN))
     cuts: dict = {}
     for r in runs.where("matrix is not null").select("conv_id", "part", "matrix").collect():  # at most two a partition

@@ -122,3 +122,10 @@ def test_whole_table_against_brute_force(spark):
         roles = [r[2] for r in sorted(own, key=lambda r: (r[1], r[2], r[3]))]
         if len(roles) <= 5:
             assert cf.repair([CODE.get(r, 4) for r in roles])[0] == brute(roles)
+
+
+def test_tied_turns_do_not_depend_on_partitions(spark):
+    rows = [(c, t, "user", f"text {i}") for c in (1, 2) for t in (0, 1) for i in range(400)] + [(1, 0, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").repartition(5)
+    got = [conversations(cf.formatted(df, Scratch(spark, "t"), n).collect()) for n in (1, 2, 7, 16)]
+    assert got[0] == got[1] == got[2] == got[3]
