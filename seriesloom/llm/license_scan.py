@@ -5,7 +5,7 @@ spaces where punctuation and white space were. Its digest is joined to the diges
 texts match if and only if their whole canonical forms are equal. The same join finds documents that are a licence as a whole and,
 over the digests of their lines, those that carry one as a line of its own. All of it is DataFrame functions.
 
-The table of known digests has one row per entry of ``KNOWN`` (or of the caller's table), and is broadcast only below ``BROADCAST_ROWS``.
+The table of known digests has one row per entry of ``known_texts`` (or of the caller's table), and is broadcast only below ``BROADCAST_ROWS``.
 
 Defined results: null counts as empty; a text without letters or digits matches nothing; repeated rows match alike; lines that repeat in a
 document count once per licence; an empty table gives no rows; other columns are not carried.
@@ -13,6 +13,8 @@ document count once per licence; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,14 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution."""),
 ]
 
+#: Longer licences, one file each, named by their ids; read on the driver.
+FOLDER = Path(__file__).parent / "licenses"
+#: Headings that the short licences often have, and the line after which a licence's appendix may be left out.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "Zlib": ["zlib License"],
+}
+TERMS_END = "END OF TERMS AND CONDITIONS"
 #: Known entries up to which their digests are broadcast.
 BROADCAST_ROWS = 100_000
 #: A copyright line, after any comment marks: "copyright" before a mark, a year, a blank to fill in or a capitalised name; "(c)" before a
@@ -102,9 +112,17 @@ def digest(form: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text): ``KNOWN`` and the longer licences, with and without headings and appendices."""
+    texts = KNOWN + [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(FOLDER.glob("*.txt"))]
+    titled = [(name, f"{title}\n{text}") for name, text in texts if len(text) > 200 for title in TITLES.get(name, [])]
+    cut = [(name, text.partition(TERMS_END)[0] + end) for name, text in texts if TERMS_END in text for end in ("", TERMS_END)]
+    return texts + titled + cut
+
+
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """(digest, license) of a table (license, text), by default the built-in one."""
-    known = known if known is not None else spark.createDataFrame(KNOWN, "license string, text string")
+    known = known if known is not None else spark.createDataFrame(known_texts(), "license string, text string")
     whole = known.select(digest(canonical_text(canonical_lines(text_of()))).alias("digest"), "license")
     return whole.where("digest is not null and license is not null").groupBy("digest").agg(F.min("license").alias("license"))
 

@@ -55,3 +55,16 @@ def test_only_copyright_lines_go(spark):
     gone = ["copyright 2020 x", "COPYRIGHT (C) X", "/* Copyright IBM Corp. */", "<!-- (c) Copyright 1999 -->", "; All Rights Reserved.", "%% © x", "// Copyright by Anna Person", "Copyright <year> <owner>"]
     lines = spark.createDataFrame([(x,) for x in kept + gone], "t string").select("t", F.size(ls.canonical_lines(F.col("t"))).alias("n")).collect()
     assert {r["t"]: r["n"] for r in lines} == dict.fromkeys(kept, 1) | dict.fromkeys(gone, 0)
+
+
+def test_common_licences_are_known_as_files_have_them(spark):
+    texts = {f.stem: f.read_text() for f in ls.FOLDER.glob("*.txt")}
+    assert set(texts) == {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"}
+    apache = texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 A. Person")
+    mit = next(t for n, t in ls.KNOWN if n == "MIT" and len(t) > 200)
+    rows = [(n, "\n".join(f"// {x}" for x in t.upper().split("\n"))) for n, t in sorted(texts.items())] + [
+        ("Apache-2.0", apache), ("Apache-2.0", apache.partition("   END OF TERMS")[0]), ("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\nAll rights reserved.\n\n" + texts["BSD-3-Clause"]), (None, apache.replace("perpetual", "brief")),
+    ]
+    got = {i: license for i, license, _ in run(spark, [(i, t, None) for i, (_, t) in enumerate(rows)])}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
