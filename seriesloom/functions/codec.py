@@ -14,6 +14,8 @@ PARQUET_OPTIONS = {
     "parquet.bloom.filter.enabled#series_key": "true",
     "parquet.page.write-checksum.enabled": "true",
 }
+#: Reads check every page against its checksum; a damaged one is an error.
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def delta(ts: Column, series: str, order: str) -> Column:

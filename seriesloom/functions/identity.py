@@ -11,15 +11,29 @@ from pyspark.sql import functions as F
 
 def sorted_tags(tags: Column) -> Column:
     """The tag map with its keys in byte order."""
-    return F.map_from_entries(F.array_sort(F.map_entries(tags)))
+    return F.map_from_entries(F.sort_array(F.map_entries(tags)))
 
 
 def series_key(metric: Column, tags: Column) -> Column:
     """``metric,k1=v1,k2=v2`` with keys in byte order; a metric without tags is its own key."""
-    pairs = F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    pairs = F.transform(F.sort_array(F.map_entries(tags)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.concat_ws(",", metric, pairs)
 
 
+def key_of(metric: Column, tags: dict[str, Column]) -> Column:
+    """The same key where the tags' names are known beforehand: a plain concatenation, without a map for each row."""
+    pairs = [F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in sorted(tags.items(), key=lambda t: t[0].encode())]
+    return F.concat_ws(",", metric, *pairs)
+
+
+def key_has(key: Column, wanted: dict[str, str]) -> Column:
+    """Whether a key's tags hold all of these pairs. Names and values hold no comma, so each pair is a whole part of the key."""
+    out = F.lit(True)
+    for k, v in sorted(wanted.items()):
+        out = out & (F.lit(False) if "," in f"{k}{v}" or "=" in k else F.concat(key, F.lit(",")).contains(f",{k}={v},"))
+    return out
+
+
 def key_metric(key: Column) -> Column:
     return F.substring_index(key, ",", 1)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.plans.scratch import Scratch
+
 #: Bucket bounds of the engine's histograms, in seconds, and of chunk counts.
 APPEND_BUCKETS = [0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1]
 FLUSH_BUCKETS = [0.01, 0.05, 0.1, 0.5, 1.0, 5.0]
@@ -12,6 +14,8 @@ QUERY_BUCKETS = [0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0]
 CHUNK_BUCKETS = [0.0, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0]
 #: Ranks by which the sketch may be off, as a share of the rows, the margins left on either side, and the ranks that a margin must span besides.
 ACCURACY, MARGINS, RANKS = 10_000, (0.0005, 0.005, 0.05), 3
+#: Groups up to which their brackets are broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, percentiles: list[float]) -> DataFrame:
@@ -32,16 +36,19 @@ def nearest_rank(df: DataFrame, group: str, value: str, percentiles: list[float]
         return at
 
     step = 2 * len(MARGINS)
-    pairs = F.array(*[F.struct(F.lit(float(p)).alias("p"), end("least", step * i).alias("lo"), end("most", step * i + 1).alias("hi")) for i, p in enumerate(percentiles)])
-    brackets = ends.select("g", "n", F.inline(pairs))
-    counts = frame.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
-    hit = counts.join(brackets, "g")
-    below = F.sum(F.when(F.col("v") < F.col("lo"), F.col("c")).otherwise(0)).alias("below")
-    under = hit.groupBy("g", "p").agg(below)
-    w = Window.partitionBy("g", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = hit.where("v >= lo and v <= hi").join(under, ["g", "p"]).withColumn("upto", F.col("below") + F.sum("c").over(w))
-    rank = F.floor((F.col("n") - 1) * F.col("p"))
-    found = inside.where(F.col("upto") > rank).groupBy("g", "p").agg(F.min("v").alias("result"))
+    each = range(len(percentiles))
+    lo, hi = [end("least", step * i).alias(f"lo{i}") for i in each], [end("most", step * i + 1).alias(f"hi{i}") for i in each]
+    scratch = Scratch(df.sparkSession, "percentiles")
+    brackets = scratch.keep(ends.select(F.col("g").alias("k"), "n", *lo, *hi))
+    hit = frame.join(F.broadcast(brackets) if brackets.count() <= BROADCAST_GROUPS else brackets, F.col("g") == F.col("k")).drop("k")
+    # rows below a bracket are only counted, before the shuffle; what lies in one is shuffled as distinct values with their counts
+    below = hit.groupBy("g").agg(F.min("n").alias("n"), *[F.sum((F.col("v") < F.col(f"lo{i}")).cast("long")).alias(f"below{i}") for i in each])
+    probed = [F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.floor((F.col("n") - 1) * F.lit(float(p))).alias("rank"), F.col(f"below{i}").alias("below")) for i, p in enumerate(percentiles)]
+    inside = F.filter(F.array(*[F.when((F.col("v") >= F.col(f"lo{i}")) & (F.col("v") <= F.col(f"hi{i}")), F.lit(i)) for i in each]), lambda i: i.isNotNull())
+    counts = hit.select("g", "v", F.explode(inside).alias("i")).groupBy("g", "i", "v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("g", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("upto", F.sum("c").over(w)).join(below.select("g", F.inline(F.array(*probed))), ["g", "i"])
+    found = upto.where(F.col("below") + F.col("upto") > F.col("rank")).groupBy("g", "p").agg(F.min("v").alias("result"))
     return found.withColumnRenamed("g", group)
 
 

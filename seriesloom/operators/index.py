@@ -9,8 +9,8 @@ from seriesloom.functions.predicates import ValuePredicate
 
 
 def registry(points: DataFrame) -> DataFrame:
-    """One row for each series."""
-    return points.groupBy("series_key").agg(F.any_value("metric_name").alias("metric_name"), F.any_value("tags").alias("tags"))
+    """One row for each series. The key determines metric and tags, so this is a distinct by hashing, partly done before the shuffle."""
+    return points.select("series_key", "metric_name", F.sort_array(F.map_entries("tags")).alias("tags")).distinct().withColumn("tags", F.map_from_entries("tags"))
 
 
 def postings(series: DataFrame) -> DataFrame:

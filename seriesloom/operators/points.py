@@ -20,13 +20,18 @@ def select_points(
     return points.where(hit)
 
 
-def last_write(points: DataFrame, arrival: Column | str = "arrival", keep: list[str] | None = None) -> DataFrame:
-    """One row for each series and timestamp: that which arrived last. Partly aggregated before the shuffle."""
+def last_write(points: DataFrame, arrival: Column | str = "arrival", keep: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """One row for each series and timestamp: that which arrived last, with columns ``keep``. Partly aggregated before the shuffle.
+
+    Arrival orders by several columns, so the aggregate's state is one struct, (arrival, value). What the key determines (series_id,
+    metric_name) goes into ``by`` and so not into the state.
+    """
     order = F.col(arrival) if isinstance(arrival, str) else arrival
     keep = keep or []
-    latest = F.max_by(F.struct("value", *keep), order).alias("__last")
-    out = points.groupBy("series_key", "timestamp_ns").agg(latest)
-    return out.select("series_key", "timestamp_ns", "__last.*")
+    by_order = F.struct(order.alias("__order"), F.col("value"))
+    latest = (F.max_by(F.struct("value", *keep), by_order) if keep else F.max(by_order)).alias("__last")
+    out = points.groupBy("series_key", *(by or []), "timestamp_ns").agg(latest)
+    return out.select("series_key", *(by or []), "timestamp_ns", "__last.*").drop("__order")
 
 
 def concatenated(hot: DataFrame, cold: DataFrame) -> DataFrame:

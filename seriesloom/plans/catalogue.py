@@ -7,16 +7,18 @@ and orders (one series for each priority and status).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions import codec, identity, metrics
+from seriesloom.functions import codec, frames, identity, metrics
 from seriesloom.functions.predicates import ValuePredicate
 from seriesloom.operators import compaction, index, log
 from seriesloom.operators import points as ops
-from seriesloom.plans.engine import Engine
+from seriesloom.plans.engine import Engine, EngineConfig
 from seriesloom.plans.scratch import Scratch
+from seriesloom.plans.sql import CRC_TABLE, crc32, xxh64
 from seriesloom.sources.points import from_events, from_lineitem, from_orders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,11 +122,13 @@ def q11(spark, d):
     return ops.last_write(from_lineitem(spark, d))
 
 
-@query("q12_hot_and_cold", f"WITH {EV} SELECT series_key, timestamp_ns, value, CASE WHEN event_id % 4 = 0 THEN 'hot' ELSE 'cold' END AS layer FROM ev")
+@query("q12_hot_and_cold", f"WITH {EV} SELECT series_key, timestamp_ns, value FROM ev WHERE metric_name = '{EV_METRIC}' UNION ALL SELECT series_key, timestamp_ns, value + 1 FROM ev WHERE metric_name = '{EV_METRIC}' AND event_id % 4 = 0")
 def q12(spark, d):
-    ev = from_events(spark, d)
-    hot, cold = ev.where("arrival % 4 = 0").withColumn("layer", F.lit("hot")), ev.where("arrival % 4 <> 0").withColumn("layer", F.lit("cold"))
-    return ops.concatenated(hot, cold).select(*POINT, "layer")
+    """A store's chunk and, over it, a log that rewrites a quarter of its timestamps: all writes of both."""
+    engine, ev = Engine(spark, Scratch(spark, "store").path), from_events(spark, d)
+    engine.append(ev, flush=True)
+    engine.append(ev.where("arrival % 4 = 0").withColumn("value", F.col("value") + 1), flush=False)
+    return engine.query(EV_METRIC, dedup=False, with_labels=True).select(*POINT)
 
 
 @query("q13_registry", f"WITH {LI}, {EV} SELECT DISTINCT series_key, 'lineitem.extendedprice' AS metric_name FROM li UNION SELECT DISTINCT series_key, metric_name FROM ev")
@@ -184,13 +188,16 @@ def q22(spark, d):
     return q21(spark, d).select("series_key", codec.undelta(F.col("delta"), "series_key", "timestamp_ns").alias("decoded"))
 
 
-@query("q23_shards")
+EV_KEYS = "SELECT DISTINCT series_key FROM ev"
+
+
+@query("q23_shards", f"WITH {EV}, k AS ({EV_KEYS}) SELECT CAST(h % 16 AS BIGINT) AS shard, count(*) AS series FROM {xxh64('k', 'series_key')} GROUP BY 1")
 def q23(spark, d):
     ids = index.registry(from_events(spark, d)).withColumn("shard", identity.shard(identity.series_id(F.col("series_key")), 16))
     return ids.groupBy("shard").agg(F.count(F.lit(1)).alias("series"))
 
 
-@query("q24_series_ids")
+@query("q24_series_ids", f"WITH {EV}, k AS ({EV_KEYS}) SELECT series_key, CAST(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN CAST(h AS HUGEINT) - 18446744073709551616 ELSE CAST(h AS HUGEINT) END AS BIGINT) AS series_id, CAST(h AS DECIMAL(20, 0)) AS shown FROM {xxh64('k', 'series_key')}")
 def q24(spark, d):
     id_ = identity.series_id(F.col("series_key"))
     return index.registry(from_events(spark, d)).select("series_key", id_.alias("series_id"), identity.unsigned(id_).alias("shown"))
@@ -261,13 +268,13 @@ def q33(spark, d):
     return ops.buffer_size(from_events(spark, d))
 
 
-@query("q34_due_for_flush", f"WITH {EV}, s AS ({SIZE}), z AS (SELECT CAST(user_id AS BIGINT) % 16 AS shard, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(32 * n + strlen(metric_name) + 7 + strlen(user_id) + 8) AS BIGINT) AS bytes FROM s GROUP BY 1) SELECT * FROM z WHERE bytes >= 25000")
+@query("q34_due_for_flush", f"WITH {EV}, s AS ({SIZE}), z AS (SELECT CAST(user_id AS BIGINT) % 16 AS shard, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(32 * n + strlen(metric_name) + 7 + strlen(user_id) + 8) AS BIGINT) AS bytes FROM s GROUP BY 1) SELECT * FROM z WHERE bytes >= 21000")
 def q34(spark, d):
     ev = from_events(spark, d).withColumn("shard", F.element_at("tags", F.lit("user_id")).cast("long") % 16)
-    return ops.due_for_flush(ops.buffer_size(ev, ["shard"]), 25000 * 16, 16)
+    return ops.due_for_flush(ops.buffer_size(ev, ["shard"]), 21000 * 16, 16)
 
 
-@query("q35_key_crc32")
+@query("q35_key_crc32", f"WITH {EV}, k AS ({EV_KEYS}), {CRC_TABLE} SELECT series_key, CAST({crc32('series_key', 't')} AS BIGINT) AS crc FROM k, crc_table")
 def q35(spark, d):
     return index.registry(from_events(spark, d)).select("series_key", F.crc32("series_key").alias("crc"))
 
@@ -276,7 +283,7 @@ def q35(spark, d):
 def q36(spark, d):
     """Through a written store: bloom filters, row-group statistics and the manifest prune, and nothing is missed."""
     engine = Engine(spark, Scratch(spark, "store").path)
-    engine.append(from_events(spark, d).withColumn("commit_pos", F.col("arrival")))
+    engine.append(from_events(spark, d).withColumn("commit_pos", F.col("arrival")), flush=True)
     return engine.query(EV_METRIC, {"user_id": "7"}, with_labels=True).select(*POINT)
 
 
@@ -301,14 +308,12 @@ def q39(spark, d):
 @query("q40_compacted_store", f"WITH {LI}, {LWW} SELECT series_key, timestamp_ns, value FROM lww WHERE timestamp_ns >= {Y1996}")
 def q40(spark, d):
     """Two commits, the later of which rewrites timestamps, merged by compaction and read back."""
-    from seriesloom.plans.engine import EngineConfig
-
     engine = Engine(spark, EngineConfig(base=Scratch(spark, "store").path, compaction_threshold=2, compaction_ratio=1e6))
     li = from_lineitem(spark, d)
     # one row for each timestamp and half: the arrival struct itself decides within a half
     low, high = li.where("arrival.l_orderkey < 7000"), li.where("arrival.l_orderkey >= 7000")
     for half in (low, high):
-        engine.append(ops.last_write(half, keep=["metric_name", "tags"]))
+        engine.append(ops.last_write(half, keep=["metric_name", "tags"]), flush=True)
     engine.compact()
     return engine.query(LI_METRIC, start=Y1996, with_labels=True).select(*POINT)
 
@@ -344,6 +349,73 @@ def q45(spark, d):
     return ops.select_points(points, OR_METRIC, {"status": "O"}).select(*POINT).join(labels, "series_key")
 
 
+@query("q46_stats_pruning_lt", f"WITH {LI}, {STATS} SELECT series_key, chunk_id FROM st WHERE min_value < 1200")
+def q46(spark, d):
+    return index.prune(_stats(spark, d), predicate=ValuePredicate.lt(1200)).select("series_key", "chunk_id")
+
+
+@query("q47_missing_stats", f"WITH {LI}, {STATS} SELECT series_key, chunk_id FROM st WHERE chunk_id % 2 = 0 OR max_value > 55000")
+def q47(spark, d):
+    """Statistics joined from the left, half of them missing: what has none is kept."""
+    st = _stats(spark, d)
+    have = st.where("chunk_id % 2 = 1").select("series_key", "chunk_id", "min_value", "max_value")
+    entries = st.drop("min_value", "max_value").join(have, ["series_key", "chunk_id"], "left")
+    return index.prune(entries, predicate=ValuePredicate.gt(55000)).select("series_key", "chunk_id")
+
+
+@query("q48_tiers_of_nonzero", f"""WITH RECURSIVE {LI}, s AS (SELECT CASE WHEN chunk_id % 5 = 0 THEN 0 ELSE count(*) * 100 + chunk_id END AS size FROM li GROUP BY chunk_id), o AS (SELECT size, row_number() OVER (ORDER BY size) AS n FROM s WHERE size > 0),
+g AS (SELECT n, size, size AS least, 1 AS grp FROM o WHERE n = 1 UNION ALL
+  SELECT o.n, o.size, CASE WHEN o.size <= 1.01 * g.least THEN g.least ELSE o.size END, CASE WHEN o.size <= 1.01 * g.least THEN g.grp ELSE g.grp + 1 END FROM g JOIN o ON o.n = g.n + 1)
+SELECT min(size) AS least, max(size) AS most, count(*) AS chunks FROM g GROUP BY grp HAVING count(*) >= 2""")
+def q48(spark, d):
+    """Size tiers where every fifth chunk is empty."""
+    size = F.when(F.col("chunk_id") % 5 == 0, 0).otherwise(F.count(F.lit(1)) * 100 + F.col("chunk_id"))
+    sizes = _chunked(spark, d).groupBy("chunk_id").agg(size.alias("size"))
+    groups = sizes.agg(F.collect_list("size").alias("sizes")).select(F.explode(compaction.tier_column(F.col("sizes"), 2, 1.01)).alias("g"))
+    return groups.select(F.array_min("g").alias("least"), F.array_max("g").alias("most"), F.size("g").cast("long").alias("chunks"))
+
+
+NAN_VALUE = "CASE WHEN event_id % 3 = 0 THEN 'nan'::DOUBLE ELSE value END"
+
+
+@query("q49_values_with_nan", f"WITH {EV}, n AS (SELECT series_key, timestamp_ns, {NAN_VALUE} AS value FROM ev) SELECT series_key, timestamp_ns, value FROM n WHERE value > 10 AND NOT isnan(value)")
+def q49(spark, d):
+    """NaN satisfies no predicate, though it sorts above every number."""
+    ev = from_events(spark, d).withColumn("value", F.when(F.col("arrival") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return ev.where(ValuePredicate.gt(10).row(F.col("value"))).select(*POINT)
+
+
+@query("q50_interleaved_store", f"WITH {EV} SELECT series_key, timestamp_ns, arg_max(v, (k, v)) AS value FROM (SELECT series_key, timestamp_ns, k, value + k AS v FROM ev, (VALUES (0), (1), (2)) t(k) WHERE event_id % (k + 1) = 0) GROUP BY ALL")
+def q50(spark, d):
+    """Three writers with engines of their own on one store, the second behind a flush and a compaction of the others."""
+    base = Scratch(spark, "store").path
+    writers = [Engine(spark, EngineConfig(base=base, compaction_threshold=2, compaction_ratio=1e6)) for _ in range(3)]
+    ev = from_events(spark, d)
+    for k, w in enumerate(writers):
+        w.append(ev.where(F.col("arrival") % (k + 1) == 0).withColumn("value", F.col("value") + k), flush=k < 2)
+    writers[0].compact()
+    metrics_ = [r[0] for r in writers[0].series().select("metric_name").distinct().collect()]  # the event types
+    out = [writers[2].query(m, with_labels=True).select(*POINT) for m in sorted(metrics_)]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("q51_log_frames", f"WITH {EV}, k AS ({EV_KEYS}), {CRC_TABLE}, c AS (SELECT series_key, lpad(printf('%x', CAST(strlen(series_key) AS BIGINT)), 8, '0') AS n, lpad(printf('%x', CAST({crc32('series_key', 't')} AS BIGINT)), 8, '0') AS c FROM k, crc_table) SELECT series_key, upper(n[7:8] || n[5:6] || n[3:4] || n[1:2] || c[7:8] || c[5:6] || c[3:4] || c[1:2]) || hex(encode(series_key)) AS frame FROM c")
+def q51(spark, d):
+    return index.registry(from_events(spark, d)).select("series_key", F.hex(frames.frame(F.encode("series_key", "UTF-8"))).alias("frame"))
+
+
+@query("q52_sorted_store", f"WITH {LI} SELECT series_key, count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM li GROUP BY 1")
+def q52(spark, d):
+    """Rows of a chunk's files that stand before an earlier key or time of the same file: none."""
+    engine = Engine(spark, Scratch(spark, "store").path)
+    engine.append(from_lineitem(spark, d).withColumn("commit_pos", F.col("arrival.l_orderkey")), flush=True)
+    [chunk] = engine.log.load().chunks
+    rows = spark.read.parquet(chunk.path).select("series_key", "timestamp_ns", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = F.lag(F.struct("series_key", "timestamp_ns")).over(Window.partitionBy("file").orderBy("at"))
+    late = F.coalesce(before > F.struct("series_key", "timestamp_ns"), F.lit(False))
+    return rows.withColumn("late", late).groupBy("series_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("late").cast("long")).alias("out_of_order"))
+
+
 # Beyond the model: time buckets over any of these series.
 
 

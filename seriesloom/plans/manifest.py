@@ -1,18 +1,26 @@
 """Manifest versions: the atomic commit point of a store.
 
-Version n is ``_manifest/<n>.json``, created exclusively; who finds it taken has lost a race and must read again. Data that no manifest
-names is invisible. Files are reached through Hadoop's file systems, so the base may be anything that Spark reads.
+Version n is ``_manifest/<n>.json``. It is written under another name and given its own in one exclusive step, so a reader never sees half
+a file and of two writers of one version exactly one succeeds; the other gets ``CommitConflict``, reads again and retries. Data that no
+manifest names is invisible, and every folder of data has a name of its own, so no writer ever touches another's. Files are reached through
+Hadoop's file systems. Those without an exclusive, atomic rename (plain object stores) are refused, for there a race could lose a commit.
 """
 
 from __future__ import annotations
 
 import json
+import random
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import SparkSession
 
-FORMAT = 1
+FORMAT = 2
+#: Schemes whose rename is atomic and refuses a taken name; ``file`` is served by hard links, which do the same.
+EXCLUSIVE = {"file", "hdfs", "viewfs", "webhdfs", "abfs", "abfss", "ofs", "o3fs"}
+RETRIES = 200
 
 
 class CommitConflict(RuntimeError):
@@ -21,7 +29,7 @@ class CommitConflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Chunk:
-    """A written chunk: its data folder, size and the sequence of its commit."""
+    """A sorted chunk: its data folder, size, rows and the highest sequence in it; its rows carry their own sequences."""
 
     chunk_id: int
     path: str
@@ -31,13 +39,24 @@ class Chunk:
     commit_seq: int
 
 
+@dataclass(frozen=True)
+class Segment:
+    """A batch in the log, not sorted yet; all of its rows have the sequence of its commit."""
+
+    name: str
+    path: str
+    rows: int
+    commit_seq: int
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int = 0
     last_commit_seq: int = 0
-    next_chunk_id: int = 1
+    flushed_seq: int = 0
     chunks: tuple[Chunk, ...] = ()
-    streams: dict[str, int] = field(default_factory=dict)
+    segments: tuple[Segment, ...] = ()
+    streams: dict[str, dict] = field(default_factory=dict)
     format_version: int = FORMAT
 
     def next(self, **changes) -> Manifest:
@@ -48,6 +67,7 @@ class Files:
     """The few file operations that a store needs."""
 
     def __init__(self, spark: SparkSession, base: str):
+        self._jvm = spark._jvm
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(base).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -58,6 +78,10 @@ class Files:
     def size(self, path: str) -> int:
         return self._fs.getContentSummary(self._path(path)).getLength()
 
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return time.time() - self._fs.getFileStatus(self._path(path)).getModificationTime() / 1000
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
@@ -69,19 +93,35 @@ class Files:
             stream.close()
 
     def create(self, path: str, text: str) -> None:
-        """Writes under another name and renames: a reader never sees half a file, and a taken name is a conflict."""
+        """Creates a file whole and exclusively; a taken name is a conflict."""
+        scheme = self._fs.getUri().getScheme()
+        if scheme not in EXCLUSIVE:
+            raise ValueError(f"{scheme}: has no exclusive rename, so concurrent commits could be lost")
         final, draft = self._path(path), self._path(f"{path}.draft-{uuid.uuid4().hex}")
-        if self._fs.exists(final):
-            raise CommitConflict(path)
         stream = self._fs.create(draft, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        # a second rename onto the name fails on every Hadoop file system with atomic rename; claim it first elsewhere
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        try:
+            if scheme == "file":
+                self._link(draft, final)
+            elif self._fs.exists(final) or not self._fs.rename(draft, final):
+                raise CommitConflict(path)
+        finally:
             self._fs.delete(draft, False)
-            raise CommitConflict(path)
+
+    def _link(self, draft, final) -> None:
+        """Names a local file a second time, which fails in one step if the name is taken."""
+        from py4j.protocol import Py4JJavaError
+
+        local = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            self._jvm.java.nio.file.Files.createLink(local(final), local(draft))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                raise CommitConflict(str(final)) from None
+            raise
 
 
 class ManifestLog:
@@ -100,8 +140,20 @@ class ManifestLog:
         raw = json.loads(self.files.read(f"{self.dir}/{version or found[-1]}.json"))
         if raw.get("format_version") != FORMAT:
             raise ValueError(f"manifest format {raw.get('format_version')}, expected {FORMAT}")
-        return Manifest(**raw | {"chunks": tuple(Chunk(**c) for c in raw["chunks"])})
+        return Manifest(**raw | {"chunks": tuple(Chunk(**c) for c in raw["chunks"]), "segments": tuple(Segment(**s) for s in raw["segments"])})
 
     def commit(self, manifest: Manifest) -> Manifest:
         self.files.create(f"{self.dir}/{manifest.version}.json", json.dumps(asdict(manifest)))
         return manifest
+
+    def update(self, change: Callable[[Manifest], Manifest | None]) -> Manifest | None:
+        """Commits what ``change`` makes of the last version; after a conflict it is asked again. None commits nothing."""
+        for attempt in range(RETRIES):
+            wanted = change(self.load())
+            if wanted is None:
+                return None
+            try:
+                return self.commit(wanted)
+            except CommitConflict:
+                time.sleep(random.random() * min(0.5, 0.01 * 2**attempt))
+        raise CommitConflict(f"no commit in {RETRIES} attempts")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import json
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
@@ -33,12 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder of written tables for one operator call."""
+    """A folder of written tables for one operator call.
+
+    The result of an operator is lazy and may read them, so whoever consumes it closes the scratch, or uses it as a context; what is
+    left open goes when the session's driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/seriesloom/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _close_at_exit(spark, self.path)
 
     def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         """Writes ``df`` as Parquet and returns the written table."""
@@ -54,6 +61,35 @@ class Scratch:
         for df in tables:
             remove(self.spark, df._scratch_path)
 
+    def close(self) -> None:
+        """Deletes all tables; a result that still reads them must have been written before."""
+        remove(self.spark, self.path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+
+_LEFT: dict[str, set[str]] = {}
+
+
+def _close_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the JVM delete ``path`` when the driver ends, by Hadoop's own hook for such folders."""
+    app = spark.sparkContext.applicationId
+    if path not in _LEFT.setdefault(app, set()):
+        _LEFT[app].add(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)  # only what exists can be marked
+        fs.deleteOnExit(p)
+
+
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from the driver as literals, so that no task reads Python's rows."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
 
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

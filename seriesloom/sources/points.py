@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.functions.identity import series_key
+from seriesloom.functions.identity import key_of
 
 POINT = T.StructType([
     T.StructField("metric_name", T.StringType(), False),
@@ -25,36 +25,35 @@ def tag_map(**tags: Column) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(k) for k in sorted(tags)]), F.array(*[tags[k].cast("string") for k in sorted(tags)]))
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    return df.withColumn("series_key", series_key(F.col("metric_name"), F.col("tags")))
-
-
 def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem.extendedprice`` by line status and return flag; timestamps repeat, so the last write matters."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("value"))
-    return _finish(li.select(
-        F.lit("lineitem.extendedprice").alias("metric_name"), tag_map(linestatus=F.col("l_linestatus"), returnflag=F.col("l_returnflag")).alias("tags"),
-        to_ns(F.col("l_shipdate")).alias("timestamp_ns"), F.col("l_extendedprice").alias("value"), order.alias("arrival"),
-    ))
+    metric, tags = F.lit("lineitem.extendedprice"), {"linestatus": F.col("l_linestatus"), "returnflag": F.col("l_returnflag")}
+    return li.select(
+        metric.alias("metric_name"), tag_map(**tags).alias("tags"), to_ns(F.col("l_shipdate")).alias("timestamp_ns"),
+        F.col("l_extendedprice").alias("value"), order.alias("arrival"), key_of(metric, tags).alias("series_key"),
+    )
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events.<type>`` by user, in order of event_id."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return _finish(ev.select(
-        F.concat(F.lit("events."), "event_type").alias("metric_name"), tag_map(user_id=F.col("user_id")).alias("tags"),
-        to_ns(F.col("ts")).alias("timestamp_ns"), "value", F.col("event_id").alias("arrival"),
-    ))
+    metric, tags = F.concat(F.lit("events."), "event_type"), {"user_id": F.col("user_id")}
+    return ev.select(
+        metric.alias("metric_name"), tag_map(**tags).alias("tags"), to_ns(F.col("ts")).alias("timestamp_ns"), "value",
+        F.col("event_id").alias("arrival"), key_of(metric, tags).alias("series_key"),
+    )
 
 
 def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders.totalprice`` by priority and status, in order of the order key."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return _finish(o.select(
-        F.lit("orders.totalprice").alias("metric_name"), tag_map(priority=F.col("o_orderpriority"), status=F.col("o_orderstatus")).alias("tags"),
-        to_ns(F.col("o_orderdate")).alias("timestamp_ns"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("arrival"),
-    ))
+    metric, tags = F.lit("orders.totalprice"), {"priority": F.col("o_orderpriority"), "status": F.col("o_orderstatus")}
+    return o.select(
+        metric.alias("metric_name"), tag_map(**tags).alias("tags"), to_ns(F.col("o_orderdate")).alias("timestamp_ns"),
+        F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("arrival"), key_of(metric, tags).alias("series_key"),
+    )
 
 
 #: The load generator's vocabulary.

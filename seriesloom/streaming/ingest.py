@@ -1,16 +1,20 @@
 """Streams of points into a store, exactly once.
 
 The checkpoint's offset log replays a batch that failed under the same id; the store's manifest remembers the last id of each
-stream and skips what it has. Together a batch is committed once. Late points are never dropped: ingest has no event-time watermark.
+stream and skips what it has. Together a batch is committed once. Batch ids mean something only within their checkpoint, so the
+manifest keeps the checkpoint's own id (of its metadata file) with the name: another checkpoint under a known name is an error. Late points are never dropped: ingest has no event-time watermark.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seriesloom.plans.engine import Engine
+from seriesloom.plans.manifest import Files
 from seriesloom.sources.points import POINT
 
 
@@ -30,11 +34,17 @@ def rate_source(spark: SparkSession, rows_per_second: int) -> DataFrame:
     )
 
 
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Structured Streaming gave a checkpoint when it was first used."""
+    return json.loads(Files(spark, checkpoint).read(f"{checkpoint}/metadata"))["id"]
+
+
 def ingest(points: DataFrame, engine: Engine, checkpoint: str, name: str = "ingest", every: str | None = None) -> StreamingQuery:
     """Starts ingest of a streaming DataFrame; without ``every`` it takes what is there and ends."""
+    spark = points.sparkSession
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        engine.append(batch, stream=name, batch=batch_id)
+        engine.append(batch, stream=name, batch=batch_id, checkpoint=checkpoint_id(spark, checkpoint))
 
     writer = points.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
