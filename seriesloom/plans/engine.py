@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from seriesloom.functions.codec import PARQUET_OPTIONS, VERIFIED
 from seriesloom.functions.exposition import Meter
-from seriesloom.functions.identity import key_has, key_tags, series_id, series_key, shard, sorted_tags
+from seriesloom.functions.identity import key_has, key_tags, series_id, series_key, shard
 from seriesloom.functions.metrics import APPEND_BUCKETS, CHUNK_BUCKETS, FLUSH_BUCKETS, QUERY_BUCKETS
 from seriesloom.functions.predicates import ValuePredicate, has_tags
 from seriesloom.operators.compaction import check_ratio, tiers
@@ -146,13 +146,15 @@ class Engine:
         return len(m.segments) > 0 and (sum(s.rows for s in m.segments) * POINT_BYTES >= self.config.flush_threshold_bytes or len(m.segments) >= self.config.max_segments)
 
     def _logged(self, points: DataFrame, path: str) -> int:
-        tags = sorted_tags(F.col("tags"))
-        bad = (F.coalesce(F.col("metric_name"), F.lit("")) == "") | F.col("metric_name").contains(",")
-        odd = F.exists(F.map_entries("tags"), lambda e: e["key"].contains("=") | e["key"].contains(",") | e["value"].contains(","))
-        metric = F.when(bad, F.raise_error("a metric needs a name without ','").cast("string")).when(odd, F.raise_error("tags may not hold ',' nor their keys '='").cast("string")).otherwise(F.col("metric_name"))
+        name, key = F.col("metric_name"), F.col("__key")
         pos = F.col("commit_pos") if "commit_pos" in points.columns else F.lit(0)
-        out = points.select(
-            metric.alias("metric_name"), series_key(F.col("metric_name"), tags).alias("series_key"), F.col("timestamp_ns").cast("long").alias("timestamp_ns"),
+        rows = points.withColumn("__key", series_key(name, F.col("tags")))
+        # what is not allowed shows in the whole key: as many commas as tags, and no "=" in the tags' names
+        bad = (F.coalesce(name, F.lit("")) == "") | name.contains(",")
+        odd = (F.length(key) - F.length(F.replace(key, F.lit(","), F.lit(""))) != F.size("tags")) | F.array_join(F.map_keys("tags"), "").contains("=")
+        checked = F.when(bad, F.raise_error("a metric needs a name without ','").cast("string")).when(odd, F.raise_error("tags may not hold ',' nor their keys '='").cast("string")).otherwise(key)
+        out = rows.select(
+            name.alias("metric_name"), checked.alias("series_key"), F.col("timestamp_ns").cast("long").alias("timestamp_ns"),
             F.col("value").cast("double").alias("value"), pos.cast("long").alias("commit_pos"),
         ).withColumn("series_id", series_id(F.col("series_key")))
         write = out.select(*names_of(LOGGED)).write.option("compression", "lz4_raw").option("parquet.page.write-checksum.enabled", "true")
