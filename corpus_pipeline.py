@@ -21,7 +21,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
     index = exact_dedup.DigestIndex(spark)
-    return exact_dedup.dedup(docs, index, Scratch(spark, "exact"))
+    kept = exact_dedup.dedup(docs, index, "documents", Scratch(spark, "exact"))
+    index.close(delete=True)  # what stays is in written tables
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
