@@ -3,14 +3,17 @@
 A document's tokens first fill whole windows of the longest tier; its tail goes to the smallest tier that holds it.
 From the longest tier down, every tail opens a window of its tier, and the gap behind it is filled from shorter tiers, the
 longest tail that fits first, and then with a cut of one that does not, so windows are full to the last token.
-The shortest tier's tails are laid end to end. Windows are dealt into step groups of equal token counts.
+The shortest tier's tails are laid end to end. Windows of a tier are counted by scan partition, and prefix sums over those counts
+number them across all partitions; every ``step_tokens`` of them make a step group, so all groups but the last of a tier are full,
+however many partitions there are.
 
 Documents are packed in groups of at most ``group_tokens`` tokens and ``group_docs`` documents (which matters for empty and very
 short ones), in the order of their scan; a group is bounded memory for one task, and packing needs no shuffle. Only the last window of a group can be short. A retried task reads the same rows and
-makes the same windows. (A document of more tokens than that is a group of its own.)
+makes the same windows. A very long text is encoded whole, as ids must not depend on cuts; one of more tokens than that is a group of
+its own, and takes about 80 bytes a token in its task.
 
 Defined results: null text is empty; an empty document is its end token alone; repeated rows, null doc_ids and ties are
-documents like others; an empty table gives no rows.
+documents like others; an empty table gives no rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -20,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import text_of
+from seriesloom.llm.common import text_of, trim
+from seriesloom.plans.scratch import Scratch
 
 #: Context sizes, each a power of two.
 TIERS = (1024, 512, 256, 128)
 #: Rows of one scan partition stay below this many sequences.
 STRIDE = 1 << 33
-SCHEMA = "doc_id bigint, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint"
+SCHEMA = "doc_id bigint, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, nth bigint"
+#: Rows of the table of window counts (one for each scan partition and tier) up to which it is broadcast.
+BROADCAST_ROWS = 100_000
 
 _encoders: dict = {}
 
@@ -124,26 +130,23 @@ def _last_at_most(rows: list[tuple[int, int, int]], n: int) -> int:
     return lo - 1
 
 
-def pack(
-    docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, group_tokens: int = 1 << 21, group_docs: int = 1 << 17, step_tokens: int = 1 << 14
-) -> DataFrame:
-    """Pieces with their ids (little-endian unsigned 32-bit), their place in a sequence, its tier and step group.
+def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, group_tokens: int = 1 << 21, group_docs: int = 1 << 17) -> DataFrame:
+    """Pieces with their ids (little-endian unsigned 32-bit), their place in a sequence, its tier, and its number ``nth`` among the
+    windows of that tier from the same scan partition.
 
-    Sequences shorter than their tier are to be padded up to it.
+    Sequences shorter than their tier are to be padded up to it. ``with_steps`` adds step groups to the written table.
     """
     fields = pa.schema([(n, {"bigint": pa.int64(), "binary": pa.binary(), "int": pa.int32()}[k]) for n, k in (c.split() for c in SCHEMA.split(", "))])
 
-    def emit(group: list, base: int) -> tuple[pa.RecordBatch, int]:
+    def emit(group: list, base: int, counts: dict[int, int]) -> tuple[pa.RecordBatch, int]:
         rows = []
-        steps: dict[int, int] = {}
         windows = pack_group([len(ids) for _, ids in group], tiers)
         for w, (tier, pieces) in enumerate(windows):
-            nth = steps[tier] = steps.get(tier, -1) + 1
+            nth = counts[tier] = counts.get(tier, -1) + 1
             offset = 0
             for d, start, n in pieces:
                 doc, ids = group[d]
-                step = base * len(tiers) + nth * tier // step_tokens * len(tiers) + tiers.index(tier)
-                rows.append((doc, start, ids[start : start + n].tobytes(), len(ids), base + w, offset, tier, step))
+                rows.append((doc, start, ids[start : start + n].tobytes(), len(ids), base + w, offset, tier, nth))
                 offset += n
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields), base + len(windows)
 
@@ -153,33 +156,55 @@ def pack(
         encode = encoder(tokenizer)
         base = TaskContext.get().partitionId() * STRIDE
         group: list = []
-        held = 0
+        held, counts = 0, {}
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(ids_of), 64):
                 for doc, ids in zip(ids_of[lo : lo + 64], encode(texts[lo : lo + 64].to_pylist()), strict=True):
                     if group and (held + len(ids) + 1 > group_tokens or len(group) == group_docs):
-                        out, base = emit(group, base)
+                        out, base = emit(group, base, counts)
                         yield out
                         group, held = [], 0
                     group.append((doc, np.array([*ids, 0], "<u4")))
                     held += len(ids) + 1
         if group:
-            yield emit(group, base)[0]
+            yield emit(group, base, counts)[0]
+        trim()
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, SCHEMA)
 
 
-def op6_of(docs: DataFrame) -> DataFrame:
+def with_steps(pieces: DataFrame, scratch: Scratch, step_tokens: int = 1 << 14, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+    """``pieces``, a written table, with step_group: windows of one tier that fill ``step_tokens``, numbered over all partitions.
+
+    Only the counts of windows by partition and tier are gathered, in a table; windows stay where they are. Groups are numbered from 0,
+    the longest tier's first.
+    """
+    part = F.shiftright("sequence_id", STRIDE.bit_length() - 1)
+    counts = scratch.keep(pieces.groupBy(part.alias("__part"), F.col("tier").alias("__tier")).agg((F.max("nth") + 1).alias("n")))
+    before = Window.partitionBy("__tier").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    groups = counts.groupBy("__tier").agg(F.ceil(F.sum("n") * F.col("__tier") / F.lit(step_tokens)).alias("g"))  # one row a tier
+    totals = {r["__tier"]: r["g"] for r in groups.collect()}
+    first = F.lit(0).cast("long")
+    for i, t in enumerate(tiers):
+        first = F.when(F.col("tier") == t, F.lit(sum(totals.get(x, 0) for x in tiers[:i]))).otherwise(first)
+    table = F.broadcast(bases) if counts.count() <= BROADCAST_ROWS else bases
+    placed = pieces.join(table.drop("n"), (part == F.col("__part")) & (F.col("tier") == F.col("__tier")))
+    step = first + F.floor((F.col("__base") + F.col("nth")) * F.col("tier") / F.lit(step_tokens))
+    return placed.withColumn("step_group", step.cast("long")).drop("__part", "__tier", "__base", "nth")
+
+
+def op6_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
     from public_tokenizers import path
 
-    pieces = pack(docs, path("byte_bpe_50k.json"))
-    return pieces.select(
+    pieces = pack(docs, path("byte_bpe_50k.json")).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
-        "doc_tokens", "sequence_id", "offset", "tier", "step_group",
+        "doc_tokens", "sequence_id", "offset", "tier", "nth",
     )
+    return with_steps(scratch.keep(pieces), scratch)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
-    return op6_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return op6_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op6"))

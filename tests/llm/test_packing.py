@@ -8,6 +8,7 @@ from public_tokenizers import path
 from tokenizers import Tokenizer
 
 from seriesloom.llm import packing
+from seriesloom.plans.scratch import Scratch
 
 
 def check_windows(lengths, windows):
@@ -96,3 +97,29 @@ def test_groups_of_empty_documents_are_bounded(spark):
     for r in rows:
         by_sequence[r["sequence_id"]].add(r["doc_id"] // 1000)
     assert all(len(groups) == 1 for groups in by_sequence.values())
+
+
+def test_step_groups_are_full_whatever_the_partitions(spark):
+    docs = spark.read.parquet(f"{oracle.SF}/documents.parquet")
+    many = docs.crossJoin(spark.range(8)).repartition(211)  # eight copies of a small table, to have enough tokens for many groups
+    rows = packing.with_steps(Scratch(spark, "t").keep(packing.pack(many, path("byte_bpe_50k.json")).drop("ids")), Scratch(spark, "t")).select("sequence_id", "tier", "step_group").distinct().collect()
+    tokens, tiers, parts = defaultdict(int), defaultdict(set), {r["sequence_id"] // packing.STRIDE for r in rows}
+    assert len(rows) == len({r["sequence_id"] for r in rows}) and len(parts) == 211
+    for r in rows:
+        tokens[r["step_group"]] += r["tier"]
+        tiers[r["step_group"]].add(r["tier"])
+    assert sorted(tokens) == list(range(len(tokens))) and all(len(t) == 1 for t in tiers.values())
+    short = [n for n in tokens.values() if n != 1 << 14]
+    assert len(short) <= len(packing.TIERS) and len(tokens) - len(short) >= 0.98 * len(tokens) and max(tokens.values()) == 1 << 14
+    empty = packing.with_steps(Scratch(spark, "t").keep(packing.pack(docs.limit(0), path("byte_bpe_50k.json"))), Scratch(spark, "t"))
+    assert empty.count() == 0 and "step_group" in empty.columns
+
+
+def test_both_encoders_agree_on_random_texts():
+    """The faster loop is used only where it gives the library's ids; here on texts of all kinds of characters."""
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    kinds = [" ", "  ", "\n", "\t", "'s", "'LL", "a", "The", "zz", "9", "1234", "é", "ß", "中文", "😀", "́", "​", "\xa0", "\x00", "_", "!?", "<|endoftext|>", "#", "İ", " ", "\U0001f468‍\U0001f469", "क्षि"]
+    texts = ["".join(rng.choice(kinds) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0xD000), rng.randrange(0x10000, 0x20000)])) for _ in range(30)) for _ in range(1000)]
+    assert packing.encoder(path("byte_bpe_50k.json"))(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
