@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences of at most 1024."""
-    return packing.op6_of(docs)
+    return packing.op6_of(docs, Scratch(spark, "pack"))
 
 
 STAGES = [
