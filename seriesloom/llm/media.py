@@ -1,15 +1,18 @@
 """Audio features of stored media.
 
 Bytes are stored as 8-bit mono PCM in a RIFF/WAVE container, losslessly. The stored form is read back, resampled by a
-polyphase filter, cut into overlapping frames and turned into log-mel energies, kept as tensors of one fixed shape
-(FRAMES, MELS) of float16, each with its time span. A hysteresis over frame energies (on above the high, off below the low
+polyphase filter, cut into overlapping frames and turned into log-mel energies. These are stored as Arrow tensors of one fixed shape,
+(FRAMES, MELS) of float16, each with its time span: an Arrow stream of rows (start_ms, end_ms, tensor), whose schema names the shape, so
+any Arrow reader gets tensors back (``tensor_table``). A hysteresis over frame energies (on above the high, off below the low
 threshold, which are quantiles of the clip) gives the active spans.
 
-Each clip is computed alone, with the same steps whatever its batch, so equal payloads have equal features. A task holds one slice of
-clips; long clips go through the filterbank in pieces of ``CHUNK`` frames.
+Each clip is computed alone, with the same steps whatever its batch, so equal payloads have equal features. A clip goes through resampling
+and the filterbank in pieces of ``CHUNK`` frames, so beside its stored form and its tensors (a quarter of that) a long one needs no
+more than a short one. A task holds at most ``BATCH_BYTES`` of finished clips, or one.
 
-Defined results: a null payload is empty; an empty one is padded to one block of 576 bytes 255; repeated rows get equal values; an
-empty table gives no rows; other columns are not carried.
+Defined results: a null payload is empty; an empty one is padded to one block of 576 bytes 255; a clip shorter than a frame is one frame; the
+last tensor of a clip is filled up with silence; in a clip of even energy nothing is active, as it never rises above its own quantile; repeated
+rows and ties get equal values; texts of any length are stored whole; an empty table gives no rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import text_of
+from seriesloom.llm.common import text_of, trim
 
 BLOCK = 576
 HEADER = 44
@@ -31,16 +34,21 @@ UP, DOWN = 2, 3
 FRAME, HOP, FFT = 400, 160, 512
 FRAMES, MELS = 16, 32
 CHUNK = 4096
+BATCH_BYTES, BATCH_ROWS = 1 << 23, 256
 SCHEMA = "doc_id bigint, n_bytes bigint, media binary, tensors binary, n_tensors int, spans array<struct<start_ms: double, end_ms: double>>"
 
 
+def header(n: int) -> bytes:
+    """The first 44 bytes of the stored form of ``n`` 8-bit samples (an even number)."""
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n)
+
+
 def to_wav(payload: bytes) -> bytes:
-    """The stored form: a 44-byte header and the bytes as 8-bit samples (of even number)."""
-    n = len(payload)
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n) + payload
+    """The stored form: a 44-byte header and the bytes as 8-bit samples."""
+    return header(len(payload)) + payload
 
 
-def from_wav(media: bytes) -> tuple[int, bytes]:
+def from_wav(media: bytes) -> tuple[int, memoryview]:
     """(rate, samples) of a stored form, whatever chunks stand before its data."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
@@ -52,14 +60,16 @@ def from_wav(media: bytes) -> tuple[int, bytes]:
             if (code, channels, bits) != (1, 1, 8):
                 raise ValueError("not 8-bit mono PCM")
         if kind == b"data":
-            return rate, media[at + 8 : at + 8 + size]
+            return rate, memoryview(media)[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
 
-def padded(text: str) -> tuple[int, bytes]:
+def stored(text: str) -> tuple[int, bytes]:
+    """(bytes of the text, its stored form): the payload is filled up with 255 to whole blocks, one at least."""
     raw = text.encode("utf-8", "surrogatepass")
-    return len(raw), raw + b"\xff" * (max(1, -(-len(raw) // BLOCK)) * BLOCK - len(raw))
+    whole = max(1, -(-len(raw) // BLOCK)) * BLOCK
+    return len(raw), b"".join([header(whole), raw, b"\xff" * (whole - len(raw))])
 
 
 def _phases(zeros: int = 6) -> list[np.ndarray]:
@@ -74,25 +84,32 @@ def _phases(zeros: int = 6) -> list[np.ndarray]:
 _PHASES = _phases()
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """x at RATE as it is at TARGET: output m is the filter's phase (m * DOWN) % UP over the inputs around m * DOWN / UP."""
-    n = -(-len(x) * UP // DOWN)
-    out = np.zeros(n)
-    half = (sum(map(len, _PHASES)) - 1) // 2
-    reach = half // UP + len(_PHASES[0])
-    held = np.concatenate([np.zeros(reach), x, np.zeros(reach + DOWN)])
-    for first in range(UP):
-        m = np.arange(first, n, UP)
+HALF = (sum(map(len, _PHASES)) - 1) // 2
+
+
+def resampled_length(n: int) -> int:
+    return -(-n * UP // DOWN)
+
+
+def resample(samples: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Outputs [lo, hi) at TARGET of 8-bit samples at RATE: output m is the filter's phase (m * DOWN) % UP over the inputs around m * DOWN / UP."""
+    out = np.zeros(hi - lo)
+    for shift in range(UP):
+        m = np.arange(lo + shift, hi, UP)
         if not len(m):
             continue
-        shifted = m[0] * DOWN + half  # position in the filter's own time
-        phase, base = shifted % UP, shifted // UP
-        step, count = DOWN, len(m)
-        acc = np.zeros(count)
-        for k, c in enumerate(_PHASES[phase]):
-            lo = reach + base - k
-            acc += c * held[lo : lo + step * (count - 1) + 1 : step]
-        out[first::UP] = acc
+        position = int(m[0]) * DOWN + HALF  # in the filter's own time
+        phase, base = _PHASES[position % UP], position // UP
+        first, end = base - len(phase) + 1, base + DOWN * (len(m) - 1) + 1
+        held = np.zeros(end - first)  # silence before and after the clip
+        a, b = max(first, 0), min(end, len(samples))
+        if a < b:
+            held[a - first : b - first] = (samples[a:b].astype(np.float64) - 128) / 128
+        acc = np.zeros(len(m))
+        for k, c in enumerate(phase):
+            at = base - k - first
+            acc += c * held[at : at + DOWN * (len(m) - 1) + 1 : DOWN]
+        out[shift::UP] = acc
     return out
 
 
@@ -111,18 +128,11 @@ _WINDOW = np.hanning(FRAME + 1)[:-1]
 
 
 def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-mel energies of each frame, its energy in dB); a clip shorter than a frame is one frame."""
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y))])
+    """(log-mel energies of each frame, its energy in dB) of a stretch of whole frames."""
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
-    mels, energy = [], []
-    for lo in range(0, len(frames), CHUNK):
-        part = frames[lo : lo + CHUNK]
-        part = (part - part.mean(axis=1, keepdims=True)) * _WINDOW
-        power = np.abs(np.fft.rfft(part, FFT)) ** 2
-        mels.append(np.log(power @ _BANK + 1e-6))
-        energy.append(10 * np.log10((part**2).mean(axis=1) + 1e-9))
-    return np.concatenate(mels), np.concatenate(energy)
+    frames = (frames - frames.mean(axis=1, keepdims=True)) * _WINDOW
+    power = np.abs(np.fft.rfft(frames, FFT)) ** 2
+    return np.log(power @ _BANK + 1e-6), 10 * np.log10((frames**2).mean(axis=1) + 1e-9)
 
 
 def active(energy: np.ndarray, low: float = 0.4, high: float = 0.6) -> list[tuple[int, int]]:
@@ -135,47 +145,65 @@ def active(energy: np.ndarray, low: float = 0.4, high: float = 0.6) -> list[tupl
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+TENSOR = pa.fixed_shape_tensor(pa.float16(), [FRAMES, MELS])
+TENSORS = pa.schema([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("tensor", TENSOR)])
+MS = 1000 / TARGET
+
+
 def features(media: bytes) -> tuple[bytes, int, list[tuple[float, float]]]:
-    """(tensors one after the other, their number, active spans in ms) of a stored form."""
-    rate, samples = from_wav(media)
+    """(Arrow stream of tensors with their spans, their number, active spans in ms) of a stored form."""
+    rate, data = from_wav(media)
     if rate != RATE:
         raise ValueError(f"made for {RATE} Hz")
-    y = resample((np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128)
-    mels, energy = log_mel(y)
-    n = -(-len(mels) // FRAMES)
-    out = np.full((n * FRAMES, MELS), np.log(1e-6))
-    out[: len(mels)] = mels
-    ms = 1000 / TARGET
-    spans = [(a * HOP * ms, ((b - 1) * HOP + FRAME) * ms) for a, b in active(energy)]
-    return out.astype("<f2").tobytes(), n, spans
-
-
-def tensor_array(tensors: bytes) -> pa.FixedShapeTensorArray:
-    """A clip's tensors as Arrow's fixed-shape tensors; the k-th spans k * FRAMES * HOP samples and the next FRAMES frames."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.frombuffer(tensors, "<f2").reshape(-1, FRAMES, MELS))
-
-
-def tensor_spans(n: int) -> list[tuple[float, float]]:
-    """Start and end in ms of a clip's tensors."""
-    ms = 1000 / TARGET
-    return [(k * FRAMES * HOP * ms, ((k * FRAMES + FRAMES - 1) * HOP + FRAME) * ms) for k in range(n)]
+    samples = np.frombuffer(data, np.uint8)
+    length = resampled_length(len(samples))
+    frames = max(0, length - FRAME) // HOP + 1
+    energy, sink, n = [], pa.BufferOutputStream(), 0
+    with pa.ipc.new_stream(sink, TENSORS) as stream:
+        for lo in range(0, frames, CHUNK):
+            hi = min(frames, lo + CHUNK)
+            end = (hi - 1) * HOP + FRAME
+            y = resample(samples, lo * HOP, min(end, length))
+            mels, e = log_mel(np.concatenate([y, np.zeros(end - lo * HOP - len(y))]))
+            energy.append(e)
+            k = -(-len(mels) // FRAMES)
+            block = np.full((k * FRAMES, MELS), np.log(1e-6), "<f2")
+            block[: len(mels)] = mels
+            at = np.arange(n, n + k) * FRAMES * HOP * MS
+            tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(block.reshape(k, FRAMES, MELS))
+            stream.write_batch(pa.RecordBatch.from_arrays([pa.array(at), pa.array(at + ((FRAMES - 1) * HOP + FRAME) * MS), tensors], schema=TENSORS))
+            n += k
+    spans = [(a * HOP * MS, ((b - 1) * HOP + FRAME) * MS) for a, b in active(np.concatenate(energy))]
+    return sink.getvalue().to_pybytes(), n, spans
+
+
+def tensor_table(tensors: bytes) -> pa.Table:
+    """(start_ms, end_ms, tensor) of a clip, the tensors as Arrow's fixed-shape tensors."""
+    return pa.ipc.open_stream(tensors).read_all()
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Stored forms of all texts with their tensors and active spans."""
+    """Stored forms of all texts with their tensors (see ``tensor_table``) and active spans."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))]
     schema = pa.schema(list(zip(["doc_id", "n_bytes", "media", "tensors", "n_tensors", "spans"], kinds, strict=True)))
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(lo, 256), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    n, payload = padded(text)
-                    media = to_wav(payload)
-                    tensors, k, spans = features(media)
-                    rows.append((doc, n, media, tensors, k, [{"start_ms": a, "end_ms": b} for a, b in spans]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                n, media = stored(batch.column(1)[i].as_py())
+                tensors, k, spans = features(media)
+                rows.append((batch.column(0)[i].as_py(), n, media, tensors, k, [{"start_ms": a, "end_ms": b} for a, b in spans]))
+                held += len(media) + len(tensors)
+                if held > BATCH_BYTES or len(rows) == BATCH_ROWS:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
+        trim()
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, SCHEMA)
 
@@ -183,7 +211,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's stored form, read back, and of its features."""
     rows = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    payload = F.substring("media", HEADER + 1, 1 << 30)
+    payload = F.substring(F.col("media"), F.lit(HEADER + 1), F.octet_length("media"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start_ms"].cast("string"), s["end_ms"].cast("string"))), ",")
     return rows.select(
         "doc_id",
