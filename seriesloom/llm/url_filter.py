@@ -1,16 +1,20 @@
 """URL filters whose block decisions follow redirects and canonical links to aliases; DataFrame operations alone.
 
 Rules name a host and the start of a path; the longest that fits a URL decides it. A URL without a rule takes the decision of its
-aliases: URLs are nodes; a redirect (given as a table, or a page's meta refresh), a canonical link, and the URL's canonical
-spelling (https, no www. or m., fragment, tracking parameters, .html or trailing slash) are edges; a component that holds a URL which a rule
+aliases: URLs are nodes; a redirect (given as a table, or a page's meta refresh) and a canonical link are edges, and with
+``spellings`` (the default) also the way from every node, pages, targets and redirects alike, to its canonical spelling (https, no
+www. or m., fragment, tracking parameters, .html or trailing slash). A component that holds a URL which a rule
 blocks is blocked. An explicit allow goes first: what an allow rule fits stays allowed in a blocked component. All else is allowed.
 
 Nodes are named by MD5, so components see hashed names. Repeated URLs are one node, so a URL, host or alias that a third of all pages
 share costs one row after partial aggregation; the joins back to pages can be split by AQE.
 
+Links are resolved by RFC 3986 against the page's first ``<base>``, if it has one, else its URL, after the entities of HTML's own marks
+(&amp; &lt; &gt; &quot; &#39; and those by number) are undone.
+
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed; null html has no links;
-repeated rows get equal verdicts; every canonical link and refresh of a page counts; relative links are resolved against the page's URL (a
-``<base>`` is not read); an empty table gives no rows.
+repeated rows get equal verdicts; every canonical link and refresh of a page counts, whole html being searched, however long; rules that fit with
+equal length go by their text; other columns are not carried; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,10 @@ PLACE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-TARGET = r"(?is)\burl\s*=\s*['\"]?([^\"'\s>;]+)"
+TARGET = r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)"
+BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: HTML's own marks as entities; the ampersand is last, so that nothing is undone twice.
+ENTITIES = [("&(?:lt|#0*60|#[xX]0*3[cC]);", "<"), ("&(?:gt|#0*62|#[xX]0*3[eE]);", ">"), ("&(?:quot|#0*34|#[xX]0*22);", '"'), ("&(?:apos|#0*39|#[xX]0*27);", "'"), ("&(?:amp|#0*38|#[xX]0*26);", "&")]
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 #: Query parameters that never change the page.
 TRACKING = r"(?i)(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
@@ -87,24 +94,42 @@ def resolved(link: Column, url: Column) -> Column:
     )
 
 
+def unescaped(link: Column) -> Column:
+    """A link without entities of HTML's own marks."""
+    out = link
+    for entity, mark in ENTITIES:
+        out = F.regexp_replace(out, entity, mark)
+    return F.when(link.contains("&"), out).otherwise(link)
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(a, b): URLs that a page says are one."""
+    """(a, b): URLs that a page says are one, by its canonical links and refreshes."""
     url, html = F.col("url"), F.coalesce(F.col("html"), F.lit(""))
+    # html is searched only where a plain string search finds the words that such tags hold
+    may = F.lower(html)
+    named = may.contains("canonical") | may.contains("refresh")
+    own = F.regexp_extract(html, BASE, 1)
+    base = F.when(own != "", F.coalesce(resolved(unescaped(own), url), url)).otherwise(url)
 
     def targets(tag: str, attribute: str) -> Column:
-        found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, attribute, 1))
-        return F.transform(F.filter(found, lambda x: x != ""), lambda x: resolved(x, url))
+        found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: unescaped(F.regexp_extract(x, attribute, 1)))
+        return F.filter(found, lambda x: x != "")
 
-    ends = F.concat(F.array(spelling(url)), targets(CANONICAL, HREF), targets(REFRESH, TARGET))
-    return pages.where(url.contains("://")).select(url.alias("a"), F.explode(ends).alias("b")).where("b is not null")
+    ends = F.concat(targets(CANONICAL, HREF), targets(REFRESH, TARGET))
+    found = pages.where(url.contains("://") & named).select(url.alias("a"), base.alias("base"), F.explode(ends).alias("link"))
+    return found.select("a", resolved(F.col("link"), F.col("base")).alias("b")).where("b is not null")
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]], scratch: Scratch, redirects: DataFrame | None = None) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str]], scratch: Scratch, redirects: DataFrame | None = None, spellings: bool = True) -> DataFrame:
     """(page_id, url, host, path, rule, verdict) of every page; ``redirects`` may add edges (a, b)."""
     edges = links(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("a", "b").where("a is not null and b is not null"))
     edges = scratch.keep(edges.where("a != b").distinct())
+    if spellings:
+        nodes = pages.select("url").union(edges.select("a")).union(edges.select("b")).where(F.col("url").contains("://")).distinct()
+        edges = edges.unionByName(nodes.select(F.col("url").alias("a"), spelling(F.col("url")).alias("b")))
+    edges = scratch.keep(edges.where("a != b").distinct())
     name = lambda c: F.unhex(F.md5(c))
     roots = components(edges.select(name(F.col("a")).alias("a"), name(F.col("b")).alias("b")), scratch)
     urls = edges.select(F.col("a").alias("url")).union(edges.select(F.col("b").alias("url"))).distinct()
@@ -129,6 +154,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The query as SQL; it knows absolute links and those that begin with a slash, and of entities &amp; alone."""
     q = lambda s: s.replace("'", "''")
     host = lambda u: f"translate(coalesce(regexp_extract({u}, '{PLACE}', 1), ''), '{UPPER}', '{LOWER}')"
     path = lambda u: f"coalesce(regexp_extract({u}, '{PLACE}', 2), '')"
@@ -136,15 +162,14 @@ def _sql() -> str:
     rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)
     query = f"regexp_replace(regexp_replace(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '{TRACKING}', '', 'g'), '^&', '')"
     spelled = f"""'https://' || regexp_replace({host("url")}, '^(?:www|m)\\.', '') || regexp_replace(regexp_replace({path("url")}, '(?:/index)?\\.html?$', ''), '/+$', '') || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END"""
-
-    def resolve(link: str) -> str:
-        return f"CASE WHEN {link} LIKE '%://%' THEN {link} WHEN {link} LIKE '//%' THEN {scheme} || ':' || {link} WHEN {link} LIKE '/%' THEN {scheme} || '://' || {host('url')} || {link} END"
-
-    canonical = f"regexp_extract(regexp_extract(coalesce(html, ''), '{q(CANONICAL)}', 0), '{q(HREF)}', 1)"
-    refresh = f"regexp_extract(regexp_extract(coalesce(html, ''), '{q(REFRESH)}', 0), '{q(TARGET)}', 1)"
+    found = lambda tag, attribute: f"list_transform(regexp_extract_all(coalesce(html, ''), '{q(tag)}'), lambda x: replace(regexp_extract(x, '{q(attribute)}', 1), '&amp;', '&'))"
+    resolved_ = f"CASE WHEN link LIKE '%://%' THEN link WHEN link LIKE '//%' THEN {scheme} || ':' || link WHEN link LIKE '/%' THEN {scheme} || '://' || {host('url')} || link END"
     return f"""
 WITH RECURSIVE rules(verdict, rule, host, path) AS (VALUES {rules}),
-e AS (SELECT url AS a, unnest([{spelled}, {resolve(canonical)}, {resolve(refresh)}]) AS b FROM pages WHERE url LIKE '%://%'),
+l AS (SELECT url, unnest(list_concat({found(CANONICAL, HREF)}, {found(REFRESH, TARGET)})) AS link FROM pages WHERE url LIKE '%://%'),
+k AS (SELECT url AS a, {resolved_} AS b FROM l WHERE link <> ''),
+nodes AS (SELECT url FROM pages WHERE url LIKE '%://%' UNION SELECT a FROM k UNION SELECT b FROM k WHERE b IS NOT NULL),
+e AS (SELECT a, b FROM k UNION SELECT url, {spelled} FROM nodes),
 s AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
 u AS (SELECT url, {host("url")} AS host, {path("url")} AS path FROM (SELECT a AS url FROM s)),
 ru AS (SELECT u.url, r.verdict, row_number() OVER (PARTITION BY u.url ORDER BY length(r.rule) DESC) AS n FROM (SELECT DISTINCT * FROM u) u JOIN rules r ON (u.host = r.host OR suffix(u.host, '.' || r.host)) AND starts_with(u.path, r.path)),

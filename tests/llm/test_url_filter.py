@@ -1,6 +1,10 @@
+import html as entities
+import random
+import re
 from urllib.parse import urljoin
 
 import oracle
+import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.llm import url_filter as uf
@@ -72,3 +76,93 @@ def test_every_link_counts_and_relative_ones_block(spark):
     ]
     got = judge(spark, rows)
     assert [got[i]["verdict"] for i in range(1, 7)] == ["block"] * 5 + ["allow"]
+
+
+def generated(seed, absolute):
+    """Pages in chains, a hub that a third of them names, conflicts of rules, spellings, bases and entities."""
+    rng = random.Random(seed)
+    hosts = ["a.org", "www.a.org", "m.b.org", "b.org", "c.net", "d.com", "www.example.com", "example.com", "e.info", "f.info"]
+    paths = ["/", "/1", "/1/", "/1.html", "/2?utm_source=x", "/2?a=1&ref=z", "/en/", "/en/x", "/es/1", "/fr/2/", "/x/y/z", "", "/3#top", "/index.html", "/4?b=2&c=3"]
+    url = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(paths)}"
+    relative = lambda: rng.choice(["../fr/2/", "es/1", "?a=1&b=2", "/en/x", "//c.net/fr/2/", "./1", "..", "#t"])
+    rows = []
+    for i in range(400):
+        own, parts = url() if rng.random() < 0.8 else f"http://h{i}.info/{i}", []
+        if rng.random() < 0.2 and not absolute:
+            parts.append(f"<base href=\"{rng.choice(['/x/', 'http://c.net/k/', 'sub/'])}\">")
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            to = "http://hub.info/h" if rng.random() < 0.33 else f"http://h{rng.randrange(400)}.info/{rng.randrange(400)}" if rng.random() < 0.4 else url() if absolute or rng.random() < 0.6 else relative()
+            to = entities.escape(to)
+            parts.append(rng.choice([f'<link rel="canonical" href="{to}">', f"<LINK href='{to}' rel=canonical />", f'<meta http-equiv="refresh" content="5; URL={to}">']))
+        rows.append((i, own, f"<html>{''.join(parts)}<p>canonical refresh</p>", "clash"))
+    rows += [(400, "http://hub.info/h", '<link rel="canonical" href="https://c.net/es/9">', None), (401, None, "<link rel=canonical href=http://c.net/es/9>", None), (402, "http://k.info/", None, None)]
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_generated_pages_same_as_sql(spark, tmp_path, seed):
+    spark.createDataFrame(generated(seed, True), "page_id bigint, url string, html string, rule string").drop("rule").write.parquet(f"{tmp_path}/pages.parquet")
+    oracle.assert_same(spark, uf.op7, uf.OP7_SQL, str(tmp_path))
+    rows = uf.op7(spark, str(tmp_path)).where("rule is null").collect()
+    assert 0 < sum(r["verdict"] == "block" for r in rows) < len(rows)
+
+
+@pytest.mark.parametrize("spellings", [True, False])
+def test_generated_pages_against_brute_force(spark, spellings):
+    rows = generated(7, False)
+    redirects = [("http://f.info/1", "http://c.net/fr/2"), ("https://e.info/1/", "http://q.info/x"), ("http://www.q.info/x/", "http://c.net/fr/2/")]
+    got = judge(spark, rows, redirects=spark.createDataFrame(redirects, "a string, b string"), spellings=spellings)
+
+    def parts(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    def rule(u):
+        host, path = parts(u)
+        fits = [(len(r), r, v) for v, r in uf.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fits)[1:] if fits else (None, None)
+
+    def spelled(u):
+        host, path = parts(u)
+        query = re.search(r"^[^?#]*\?([^#]*)", u)
+        kept = [p for p in (query[1].split("&") if query else []) if not re.match(r"(?i)(utm_[a-z]+|ref|fbclid|gclid)=", p)]
+        path = re.sub(r"(/index)?\.html?$", "", path).rstrip("/")
+        return "https://" + re.sub(r"^(www|m)\.", "", host) + path + ("?" + "&".join(kept) if "".join(kept) else "")
+
+    edges = list(redirects)
+    for _, u, h, _ in rows:
+        if u is None:
+            continue
+        tags = [t for t in re.findall(r"(?i)<[a-z]+[^>]*>", h or "")]
+        base = next((urljoin(u, entities.unescape(re.search(r'href="([^"]*)', t)[1])) for t in tags if t.startswith("<base")), u)
+        for t in tags:
+            if re.match(r"(?i)<link", t):
+                edges.append((u, urljoin(base, entities.unescape(re.search(r"""href=["']?([^"'>\s]+)""", t)[1]))))
+            elif re.match("<meta", t):
+                edges.append((u, urljoin(base, entities.unescape(re.search(r"""URL=([^"]+)""", t)[1]))))
+    nodes = {u for e in edges for u in e} | {u for _, u, _, _ in rows if u}
+    if spellings:
+        edges += [(u, spelled(u)) for u in nodes]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    todo = [u for u in near if rule(u)[1] == "block"]
+    bad = set(todo)
+    while todo:
+        new = near[todo.pop()] - bad
+        bad |= new
+        todo += new
+    want = {i: (rule(u)[0], rule(u)[1] or ("block" if u in bad else "allow")) for i, u, _, _ in rows}
+    assert {i: (r["rule"], r["verdict"]) for i, r in got.items()} == want
+    assert any(v == "block" and r is None for r, v in want.values()) and any(v == "allow" and r is None for r, v in want.values())
+
+
+def test_a_target_in_another_spelling_is_the_same_page(spark):
+    rows = [(1, "http://a.org/1", '<link rel=canonical href="https://www.d.org/2/">', None), (2, "http://d.org/2", '<link rel=canonical href="http://x.net/fr/">', None)]
+    assert judge(spark, rows)[1]["verdict"] == "block" and judge(spark, rows, spellings=False)[1]["verdict"] == "allow"
+
+
+def test_very_long_html(spark):
+    rows = [(1, "http://a.org/1", "<p>canonical</p> " * 200_000 + "<link rel=canonical href='http://x.net/fr/1'>", None)]
+    assert judge(spark, rows)[1]["verdict"] == "block"
