@@ -17,6 +17,8 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10,
 }
 ORACLE_SQL = {
+    "op5_chat_format": chat_format.OP5_SQL,
+    "op8_sharding": sharding.OP8_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op4_near_dedup": near_dedup.OP4_SQL,
     "op7_url_filter": url_filter.OP7_SQL,

@@ -6,11 +6,13 @@ holds a third of all rows, or an unlucky sample) are subdivided at samples of (k
 then sorted by one task, and exact byte offsets, carried over a small table of piece totals, deal the
 records into contiguous shards of near equal bytes.
 
-The number of ranges is a parameter, not a limit on rows: pieces spill like any sort. Samples are
-Poisson draws with a stated expected number, so what reaches the driver does not grow with the input.
+The number of ranges is no limit on rows: pieces spill like any sort. There are 1024, and beyond 2**30 records one for each
+2**20 of them up to ``MOST_RANGES``. Samples are Poisson draws with a stated expected number, 16 a range, so what reaches the driver is bounded
+whatever the input.
 
-Defined results: null text has no bytes and the crc of the empty string; a null tie sorts first;
-records that agree in key, tie and size are interchangeable; an empty table gives no shards.
+Defined results: null text has no bytes and the crc of the empty string; a very long text is one record like others, and a shard that
+holds it may be as much larger; a null tie sorts first; records that agree in key, tie and size are interchangeable; columns of ``records``
+pass through ``assign``, but for its own names shard and slot and those that begin with two underscores; an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.common import text_of
 from seriesloom.plans.scratch import Scratch
+from seriesloom.plans.sql import CRC_TABLE, crc32
 
 #: Points of the pseudo-random draw.
 UNIT = 1 << 30
+MOST_RANGES = 1 << 14
 
 
 def _draws(weight: Column, total: int, samples: int, *of: str) -> Column:
@@ -61,16 +65,16 @@ def _range_of(key: Column, cuts: list[int]) -> Column:
     return F.when(top == 0, 0).otherwise((top - 1) * fan + F.size(F.filter(leaf, lambda c: c <= key)))
 
 
-def assign(records: DataFrame, shards: int, scratch: Scratch, ranges: int = 1024, oversample: int = 16) -> DataFrame:
+def assign(records: DataFrame, shards: int, scratch: Scratch, ranges: int | None = None, oversample: int = 16) -> DataFrame:
     """Adds shard (0 to shards - 1, contiguous in key order, near equal in bytes) and slot (gapless from 0 in it).
 
     ``records`` has key BIGINT and size BIGINT (not null), tie BIGINT, and any columns that shall stay. ``ranges`` bounds the first
     boundaries; a piece holds about 1/ranges of the bytes.
     """
     spark = records.sparkSession
-    kept = scratch.keep(records)
+    kept = scratch.keep(records.drop("shard", "slot"))
     total, count = kept.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    ranges = max(1, min(ranges, count // 16 + 1))
+    ranges = max(1, min(ranges or min(MOST_RANGES, max(1024, count >> 20)), count // 16 + 1))
     samples = ranges * oversample
 
     drawn = kept.select("key", _draws(F.col("size"), total, samples, "key", "tie").alias("n")).where("n > 0")
@@ -134,13 +138,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes whole documents (unique doc_id) as one folder per shard, in slot order within each file."""
-    docs.join(placed.select("doc_id", "shard", "slot"), "doc_id").repartition("shard", F.floor(F.col("slot") / 65536)).sortWithinPartitions(
-        "shard", "slot"
-    ).write.partitionBy("shard").parquet(path)
-
-
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -151,8 +148,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP8_SQL = """
-WITH d AS (
+OP8_SQL = f"""
+WITH {CRC_TABLE},
+d AS (
   SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, coalesce(text, '') AS t,
     CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS key FROM documents),
 o AS (
@@ -160,5 +158,6 @@ o AS (
     CAST(sum(size) OVER () AS HUGEINT) AS total,
     row_number() OVER (ORDER BY key, doc_id NULLS FIRST, size) AS pos FROM d),
 s AS (SELECT *, CAST(least(23, before * 24 // total) AS INTEGER) AS shard FROM o)
-SELECT doc_id, CAST(size AS BIGINT) AS size, shard, CAST(pos - min(pos) OVER (PARTITION BY shard) AS BIGINT) AS slot FROM s
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST({crc32("s.t", "c.t")} AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  CAST(pos - min(pos) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s, crc_table c
 """

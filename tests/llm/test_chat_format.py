@@ -124,6 +124,30 @@ def test_whole_table_against_brute_force(spark):
             assert cf.repair([CODE.get(r, 4) for r in roles])[0] == brute(roles)
 
 
+def test_same_as_sql(spark, tmp_path):
+    oracle.assert_same(spark, cf.op5, cf.OP5_SQL)
+    rng = random.Random(11)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "Tool", None, "USER"]), rng.choice(["", None, "x<|im_end|>", f"t{t}"])) for c in range(250) for t in range(rng.randrange(1, 9))]
+    rows += [(999, t, rng.choice(["user", "assistant"]), f"hot{t}") for t in range(300)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    oracle.assert_same(spark, cf.op5, cf.OP5_SQL, str(tmp_path))
+
+
+def test_cuts_make_no_difference(spark):
+    rng = random.Random(5)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "Tool"]), f"t{t}") for c in range(40) for t in range(rng.randrange(1, 40))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    got = [conversations(cf.formatted(df, Scratch(spark, "t"), n).collect()) for n in (1, 3, 16, 50)]
+    assert got[0] == got[1] == got[2] == got[3]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows = [(1, t, ["user", "assistant"][t % 2], "w\u00e9 " * 1_500_000) for t in range(6)] + [(2, 0, "user", "short")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").withColumns({c: cf.F.lit("clash") for c in ("segment", "step", "code", "matrix")})
+    got = cf.formatted(df, Scratch(spark, "t"), partitions=2).select("conv_id", "turn", cf.F.length("segment").alias("n")).collect()
+    assert len(got) == 7 and all(r["n"] > 4_500_000 for r in got if r["conv_id"] == 1)
+
+
 def test_tied_turns_do_not_depend_on_partitions(spark):
     rows = [(c, t, "user", f"text {i}") for c in (1, 2) for t in (0, 1) for i in range(400)] + [(1, 0, "user", None)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").repartition(5)

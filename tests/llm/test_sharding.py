@@ -1,5 +1,8 @@
+import zlib
+
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.llm import sharding
 from seriesloom.plans.scratch import Scratch
@@ -11,9 +14,21 @@ def place(spark, rows, shards=4, **more):
 
 
 def test_same_as_sql(spark):
-    df = sharding.op8(spark, oracle.SF)
-    columns, want = oracle.duck(sharding.OP8_SQL)
-    assert oracle.rows_of(columns, df.select(*columns).collect()) == oracle.rows_of(columns, want)
+    oracle.assert_same(spark, sharding.op8, sharding.OP8_SQL)
+
+
+def test_clashing_columns_ties_and_long_texts(spark):
+    rows = [(i, ("t" * (i % 5 + 1)) if i else "w\u00e9 " * 2_000_000) for i in range(200)] + [(7, "ttt"), (7, "ttt"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clash = {c: F.lit("clash") for c in ("shard", "slot", "law", "range")}
+    got = sharding.assign(sharding.keyed(df).withColumns(clash), 4, Scratch(spark, "t")).collect()
+    assert len(got) == len(rows) and {r["law"] for r in got} == {"clash"} and all(isinstance(r["shard"], int) for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+        text = rows[r["doc_id"]][1] if r["doc_id"] is not None else ""
+        assert r["text_crc32"] == zlib.crc32(text.encode()) and r["size"] == len(text.encode()) + 8
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
 @pytest.mark.parametrize("hot", [0, 400])
