@@ -78,10 +78,30 @@ def test_odd_sketches_estimate_high_similarities():
         assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < 0.14
 
 
+def test_very_long_texts_are_hashed_in_blocks(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "B", "\u00e9", " ", "\t\n", "\x0b", "\xa0"]) for _ in range(n)) for n in (0, 1, 3, 9, 40, 300, 3000)] + [" ", "a" * 500, "one two three four", " x " * 4 + "y" * 100 + " z"]
+    whole = [nd.shingles(t) for t in texts]
+    for block in (1, 7, 64):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        assert all((nd.shingles(t) == w).all() and len(nd.shingles(t)) == len(w) for t, w in zip(texts, whole, strict=True))
+
+
+def test_many_large_buckets_need_no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(nd, "HOT", 4)
+    base = [f"w{i}" for i in range(100)]
+    rng = random.Random(1)
+    rows = [(i, noisy(base, rng, 1)) for i in range(60)] + [(100 + i, f"own text number {i} of few words {i}") for i in range(20)]
+    want = sorted((d, k, c) for (d, _), (k, c) in zip(rows, brute(rows), strict=True))
+    assert solve(spark, rows)[0] == want
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_same_as_brute_force(spark, seed, monkeypatch):
-    if seed:  # nearly all buckets count as large
+    if seed:  # nearly all buckets count as large, and are dealt to several tasks
         monkeypatch.setattr(nd, "SMALL", 3)
+        monkeypatch.setattr(nd, "HOT", 8)
     rng = random.Random(seed)
     rows = []
     for g in range(12):
