@@ -8,11 +8,13 @@ over the digests of their lines, those that carry one as a line of its own. All
 The table of known digests has one row per entry of ``known_texts`` (or of the caller's table), and is broadcast only below ``BROADCAST_ROWS``.
 
 Defined results: null counts as empty; a text without letters or digits matches nothing; repeated rows match alike; lines that repeat in a
-document count once per licence; an empty table gives no rows; other columns are not carried.
+document count once per licence; of licences with equal digests the first by name counts; very long texts are canonicalised whole, in
+memory for a few times one text; an empty table gives no rows; other columns are not carried.
 """
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,28 +90,37 @@ def respellings() -> list[tuple[str, str]]:
     return [(rf"\b(?:{'|'.join(found)})\b", keep) for keep, found in kept.items()]
 
 
-def canonical_lines(text: Column) -> Column:
-    """The lines in which equal licences are equal strings; blank ones and copyright lines go."""
-    t = F.regexp_replace(F.lower(F.regexp_replace(text, OWNED, " ")), MARKS, " ")
-    spelled = t
-    for pattern, keep in respellings():
-        spelled = F.regexp_replace(spelled, pattern, keep)
-    t = F.when(t.rlike("|".join(found for found, _ in SPELLINGS)), spelled).otherwise(t)
-    return F.filter(F.transform(F.split(t, r"[\n\r]+"), lambda x: F.trim(x)), lambda x: x != "")
+def _any_spelling() -> str:
+    """A pattern that finds a word of ``SPELLINGS`` behind a space or a line's end, by its first letter first."""
+    rest: dict[str, list[str]] = {}
+    for found, _ in SPELLINGS:
+        rest.setdefault(found[0], []).append(found[1:])
+    return r"[ \n](?:" + "|".join(f"{c}(?:{'|'.join(words)})" for c, words in sorted(rest.items())) + ")"
+
 
+def canonical(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with __lines, the lines of ``text`` in which equal licences are equal strings, without blank ones and copyright lines, and
+    __form, the whole canonical form, however the lines were wrapped.
 
-def canonical_text(lines: Column) -> Column:
-    """The whole canonical form of canonical lines, however they were wrapped."""
-    form = F.array_join(lines, " ")
+    Each step is a column of its own, so no step is computed twice; only texts that hold another spelling are respelled.
+    """
+    plain = F.translate(F.lower(F.regexp_replace(text, OWNED, " ")), "\r", "\n")
+    t = docs.withColumn("__t", F.concat(F.lit("\n"), F.regexp_replace(plain, MARKS, " ")))
+    spelled = F.col("__t")
+    for pattern, keep in respellings():
+        spelled = F.regexp_replace(spelled, pattern, keep)
+    t = t.withColumn("__t", F.when(F.col("__t").rlike(_any_spelling()), spelled).otherwise(F.col("__t")))
+    t = t.withColumn("__lines", F.filter(F.transform(F.split("__t", "\n"), lambda x: F.trim(x)), lambda x: x != "")).drop("__t")
+    t = t.withColumn("__form", F.array_join("__lines", " "))
     for found, keep in SPELLINGS:
         if " " in found:  # may have been cut by a line's end
-            form = F.regexp_replace(form, rf"\b{found}\b", keep)
-    return form
+            t = t.withColumn("__form", F.when(F.col("__form").contains(found), F.regexp_replace("__form", rf"\b{found}\b", keep)).otherwise(F.col("__form")))
+    return t
 
 
 def digest(form: Column) -> Column:
     """A canonical form's digest; null for nothing."""
-    return F.when(form != "", F.sha2(form, 256))
+    return F.nullif(F.sha2(form, 256), F.lit(hashlib.sha256(b"").hexdigest()))
 
 
 def known_texts() -> list[tuple[str, str]]:
@@ -123,7 +134,7 @@ def known_texts() -> list[tuple[str, str]]:
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """(digest, license) of a table (license, text), by default the built-in one."""
     known = known if known is not None else spark.createDataFrame(known_texts(), "license string, text string")
-    whole = known.select(digest(canonical_text(canonical_lines(text_of()))).alias("digest"), "license")
+    whole = canonical(known.select("license", "text"), text_of()).select(digest(F.col("__form")).alias("digest"), "license")
     return whole.where("digest is not null and license is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -131,10 +142,10 @@ def scan(docs: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, text_digest, license, line_licenses): the licence that the whole text is, and the sorted ones that single lines are."""
     known = scratch.keep(known)
     table = F.broadcast(known) if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else known
-    forms = docs.select("doc_id", F.md5(text_of()).alias("key"), canonical_lines(text_of()).alias("lines"))
-    forms = forms.withColumn("text_digest", digest(canonical_text(F.col("lines"))))
+    forms = canonical(docs.select("doc_id", "text"), text_of())
     # both kinds of form pass through the same join; one row a document is kept apart from the lines' hits
-    forms = scratch.keep(forms.select("doc_id", "key", "text_digest", F.array_distinct(F.transform("lines", digest)).alias("lines")))
+    lines = F.array_distinct(F.transform("__lines", digest))
+    forms = scratch.keep(forms.select("doc_id", F.md5(text_of()).alias("key"), digest(F.col("__form")).alias("text_digest"), lines.alias("lines")))
     lines = forms.select("doc_id", "key", F.explode("lines").alias("digest")).join(table, "digest")
     hits = lines.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("license")).alias("line_licenses"))
     hits = hits.select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "line_licenses")

@@ -53,7 +53,7 @@ def test_wrapping_and_comment_marks_do_not_matter(spark):
 def test_only_copyright_lines_go(spark):
     kept = ["copyright notice and this permission", "Copyright Holder", "copyright the software, and", "(c) You must retain", "# copyright law", "all rights reserved to others", "COPYRIGHT HOLDERS BE LIABLE"]
     gone = ["copyright 2020 x", "COPYRIGHT (C) X", "/* Copyright IBM Corp. */", "<!-- (c) Copyright 1999 -->", "; All Rights Reserved.", "%% © x", "// Copyright by Anna Person", "Copyright <year> <owner>"]
-    lines = spark.createDataFrame([(x,) for x in kept + gone], "t string").select("t", F.size(ls.canonical_lines(F.col("t"))).alias("n")).collect()
+    lines = ls.canonical(spark.createDataFrame([(x,) for x in kept + gone], "t string"), F.col("t")).select("t", F.size("__lines").alias("n")).collect()
     assert {r["t"]: r["n"] for r in lines} == dict.fromkeys(kept, 1) | dict.fromkeys(gone, 0)
 
 
@@ -68,3 +68,15 @@ def test_common_licences_are_known_as_files_have_them(spark):
     ]
     got = {i: license for i, license, _ in run(spark, [(i, t, None) for i, (_, t) in enumerate(rows)])}
     assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+
+
+def test_every_other_spelling_is_found_and_kept_alike(spark):
+    rows = [(i, f"{mark}{found.upper()}{mark}word", None) for i, (found, _) in enumerate(ls.SPELLINGS) for mark in (" ", "\r\n", "--")]
+    forms = {(r["doc_id"], r["__form"]) for r in ls.canonical(spark.createDataFrame(rows, "doc_id bigint, text string, license string"), F.col("text")).collect()}
+    assert forms == {(i, f"{keep} word") for i, (_, keep) in enumerate(ls.SPELLINGS)}
+
+
+def test_very_long_texts(spark):
+    isc = next(t for n, t in ls.KNOWN if n == "ISC")
+    rows = [(1, "\n".join(f"line {i} of many" for i in range(300_000)) + "\nReleased under the MIT License.", None), (2, "\n" * 3_000_000 + isc, None)]
+    assert sorted(run(spark, rows)) == [(1, None, ["MIT"]), (2, "ISC", None)]
