@@ -14,7 +14,7 @@ With 40 bands of 4 rows two sets of similarity 0.75 share no band with probabili
 in none of 400 000 simulated pairs (5.5 standard errors). So a pair at the threshold is missed less often than once in 100 000 by both filters
 together, and more similar ones less still. Full sets are rebuilt from the texts for the classes in question only.
 
-A bucket or shingle that many classes share is dealt to several tasks: rows get a salt below ceil(size / ``HOT``), and the one row a
+A bucket that many classes share is dealt to several tasks: rows get a salt below ceil(size / ``HOT``), and the one row a
 bucket that they are joined with is repeated for each salt. A very long text is hashed in blocks of words; its set (8 bytes a
 shingle) is held whole.
 
@@ -317,16 +317,16 @@ class NearDuplicates:
         # what stands behind a shingle in its set's order, itself included, bounds what two sets have in common from there on
         rows = rows.withColumn("px", F.slice("order", F.lit(1), F.col("first"))).withColumn("total", F.size("order"))
         prefix = rows.select("c", "n", "total", *PARTS, F.col("px")["h"].alias("px"), F.posexplode("px").alias("at", "e"))
-        prefix = prefix.select("c", "n", *PARTS, "px", (F.col("total") - F.col("at")).alias("rest"), "e.h", F.col("e.df").alias("size"))
+        prefix = prefix.select("c", "n", *PARTS, "px", (F.col("total") - F.col("at")).alias("rest"), "e.h")
         light = sets.where(F.size("hashes") <= CARRIED)
-        prefix = keep(_salted(prefix.join(names, "c").join(light, "c", "left")))
+        prefix = keep(prefix.join(names, "c").join(light, "c", "left"))
         common = F.size(F.array_intersect("x.hashes", "y.hashes")).cast("long")
         linked = F.coalesce(100 * common >= 75 * (F.col("x.n") + F.col("y.n") - common), F.lit(True))  # unknown for longer sets: confirmed later
         at_first = F.get(F.array_intersect("x.px", "y.px"), 0) == F.col("x.h")  # each pair once, at the rarest shingle in common
         reach = 7 * F.least("x.rest", "y.rest") >= 3 * (F.col("x.n") + F.col("y.n"))  # from the first common shingle on: 0.75 / 1.75 of both sizes
         hit = F.when(~_sizes_fit("x", "y") | ~reach, False).when(~_similar("x", "y"), False).when(at_first, linked).otherwise(False)
-        apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.c") < F.col("y.c"))
-        found = keep(prefix.alias("x").join(_repeated(prefix.drop("salt")).alias("y"), apart & hit).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
+        apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.c") < F.col("y.c"))
+        found = keep(prefix.alias("x").join(prefix.alias("y"), apart & hit).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
         drop(sets, often, prefix)
         return found
 
