@@ -7,11 +7,13 @@ source's blocks, names the block it takes, so a source that is wanted twice over
 document more often than the cap. The last slot of a source is cut, so that its target is met to the word.
 
 Positions in a source are two-level prefix sums: within hash buckets, and over the buckets' totals. A source
-that holds a third of all rows is therefore spread over many tasks. The only thing gathered is one row per source.
+that holds a third of all rows is therefore spread over many tasks. The only thing gathered is one row per source (name, words,
+rows), of at most ``most_sources``; a table with more is an error, not a cut, as the schedule is a table of cumulative targets on the driver.
 
 Defined results: null and empty texts have no words and are taken 0 times (``mixed`` keeps them once, as they
 weigh nothing); null sources are one source, last; a null doc_id is a document of its own; repeated rows are
-separate documents; an empty table gives an empty mix; extra columns pass through ``mixed``.
+separate documents; equal shuffle keys go by doc_id, then by the text's digest; very long texts count whole and are cut between blocks; an
+empty table gives an empty mix; extra columns pass through ``mixed``, unless their names begin with two underscores.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def water_fill(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] =
 class Mix:
     """A schedule over ``docs``: ``lines`` places documents, ``pieces`` cuts them into blocks, ``slots`` takes blocks."""
 
-    def __init__(self, docs: DataFrame, scratch: Scratch, block: int = 256, seed: int = 0, bucket_rows: int = 1000, chunk: int = 65_536):
+    def __init__(self, docs: DataFrame, scratch: Scratch, block: int = 256, seed: int = 0, bucket_rows: int = 1000, chunk: int = 65_536, most_sources: int = 100_000, most_bits: int = 24):
         self.spark, self.block = docs.sparkSession, block
         order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(str(seed))))
         rows = scratch.keep(
@@ -65,9 +67,12 @@ class Mix:
                 F.conv(F.substring(order, 1, 15), 16, 10).cast("long").alias("key"),
             )
         )
-        totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+        totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(most_sources + 1).collect()
+        if len(totals) > most_sources:
+            raise ValueError(f"more than {most_sources} sources")
         self.sources = water_fill([(r["source"], r["size"]) for r in totals])
-        bits = min(14, (sum(r["n"] for r in totals) // bucket_rows).bit_length())  # buckets grow beyond that many; they sort and spill
+        # about ``bucket_rows`` rows a bucket; beyond 2 ** ``most_bits`` buckets, whose totals a source's task adds up, they grow, sort and spill
+        bits = min(most_bits, (sum(r["n"] for r in totals) // bucket_rows).bit_length())
         names = {s.name: i for i, s in enumerate(self.sources)}
         known = self.spark.createDataFrame([(k, v) for k, v in names.items()], "name string, s int")
         self.lines = scratch.keep(self._lay_out(rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).drop("name"), bits))

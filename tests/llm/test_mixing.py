@@ -82,3 +82,13 @@ def test_sizes_of_the_whole_table(spark):
 
 def test_same_as_sql(spark):
     oracle.assert_same(spark, mixing.op2, mixing.OP2_SQL)
+
+
+def test_long_texts_and_too_many_sources(spark):
+    rows = [(1, "a", "word " * 1_000_000), (2, "a", "two words"), (3, "b", "x " * 10), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = {r["doc_id"]: r for r in mixing.Mix(docs, Scratch(spark, "t")).taken().collect()}
+    assert got[1]["size"] == 1_000_000 and got[3]["taken"] == 30 and got[4]["taken"] == 0
+    assert got[1]["taken"] + got[2]["taken"] == 1_000_012 - 30
+    with pytest.raises(ValueError, match="more than 2 sources"):
+        mixing.Mix(docs, Scratch(spark, "t"), most_sources=2)
