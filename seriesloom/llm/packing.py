@@ -68,6 +68,8 @@ def encoder(path: str):
         if [fast.encode_ordinary(t) for t in probe] == plain(probe):
             encode = lambda texts: [plain([t])[0] if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
     _encoders[path] = encode
+    del spec
+    trim()  # the file's text and tables were several times the encoder
     return encode
 
 

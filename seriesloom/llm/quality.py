@@ -44,7 +44,7 @@ CLASSES = 7
 OWN = 15  # features of one line
 WIDTH = 3 * OWN + 3
 #: Most bytes of texts whose features are computed at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Most bytes of a line, about.
 LINE = 1 << 16
 GAP = re.compile(rb"[ \t\x0b\x0c\r]")
