@@ -61,12 +61,16 @@ METRICS = ["cpu.load", "mem.used_bytes", "disk.io_bytes", "net.rx_bytes", "gc.pa
 REGIONS = ["us-east-1", "eu-west-1", "ap-southeast-1"]
 SERVICES = ["api", "cache", "queue", "storage", "auth"]
 
+#: Least points of a generated partition, if there are several.
+PART_POINTS = 50_000
+
 
 def synthetic(spark: SparkSession, points: int, series: int = 100_000, start_ns: int = 0, seed: int = 42) -> DataFrame:
     """Load-generator points: ``series`` label sets over the vocabulary, times from ``start_ns`` on, values in [0, 100)."""
     s = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(series))
     pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (F.pmod(by, F.lit(len(words))) + 1).cast("int"))
-    rows = spark.range(points).withColumn("s", s)
+    parts = max(1, min(spark.sparkContext.defaultParallelism, points // PART_POINTS))
+    rows = spark.range(0, points, 1, parts).withColumn("s", s)
     return rows.select(
         pick(METRICS, F.col("s")).alias("metric_name"),
         tag_map(host=F.concat(F.lit("host-"), F.col("s").cast("string")), region=pick(REGIONS, F.floor(F.col("s") / 5)), service=pick(SERVICES, F.floor(F.col("s") / 15))).alias("tags"),

@@ -74,7 +74,7 @@ class GroupCommit:
     def _commit(self, group: list[tuple[DataFrame | None, Future]]) -> None:
         batches = [points for points, _ in group if points is not None]
         try:
-            seq = self.engine.append(reduce(DataFrame.unionByName, [self._placed(p, i) for i, p in enumerate(batches)])) if batches else 0
+            seq = self.engine.append(self._joined(batches)) if batches else 0
         except Exception as e:
             for _, done in group:
                 done.set_exception(e)
@@ -82,6 +82,11 @@ class GroupCommit:
         for points, done in group:
             done.set_result(seq if points is not None else self.engine.current_sequence())
 
+    def _joined(self, batches: list[DataFrame]) -> DataFrame:
+        """One batch of several, with no more tasks and files than cores: each brings partitions of its own, mostly small ones."""
+        rows = reduce(DataFrame.unionByName, [self._placed(p, i) for i, p in enumerate(batches)])
+        return rows.coalesce(self.engine.spark.sparkContext.defaultParallelism) if len(batches) > 1 else rows
+
     @staticmethod
     def _placed(points: DataFrame, nth: int) -> DataFrame:
         pos = F.col("commit_pos") if "commit_pos" in points.columns else F.lit(0)
