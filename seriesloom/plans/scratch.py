@@ -17,6 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: How scratch tables are written: without a marker, and on local disks without checksum files. Where Hadoop has no native library, every
+#: file and folder there costs a ``chmod`` process, started by an executor that for a moment counts twice in the memory of its processes.
+PLAIN = {
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
 _OWN: dict[str, str] = {}
 
 
@@ -51,7 +59,7 @@ class Scratch:
         """Writes ``df`` as Parquet and returns the written table."""
         self._n += 1
         at = f"{self.path}/{self._n}"
-        df.write.option("compression", codec).parquet(at)
+        df.write.options(**PLAIN).option("compression", codec).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
         return out
